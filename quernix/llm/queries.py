@@ -33,3 +33,33 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     nd = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return nd.select(real_id().alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernix.llm import substring
+
+    d = substring.dedup_substrings(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op2_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), p AS (
+  SELECT doc_id, unnest(range(len(ws) - 19)) AS i, ws FROM w WHERE len(ws) >= 20
+), k AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i + 1 : i + 20], ' ')) AS h FROM p
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM k) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + unnest(range(20)) AS i FROM later
+), g AS (
+  SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
+), r AS (
+  SELECT w.doc_id, ws, coalesce(gone, []) AS gone FROM w LEFT JOIN g ON w.doc_id = g.doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(gone, i - 1)), ' ')) AS kept_sha256
+FROM r
+"""

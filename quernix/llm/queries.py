@@ -63,3 +63,12 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS
   sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(gone, i - 1)), ' ')) AS kept_sha256
 FROM r
 """
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernix.llm import lines
+
+    d = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    kept = F.coalesce("text", F.lit(""))
+    return d.select("doc_id", "n_lines", "n_removed", "n_near", "n_links", F.char_length(kept).cast("long").alias("n_kept_chars"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))

@@ -83,13 +83,12 @@ def within(a: Column, b: Column, tau: int = TAU) -> Column:
     """
     width = 2 * tau + 1
     full = (1 << width) - 1
-    xs, ys = F.split(a, ""), F.split(b, "")
     n, m = F.char_length(a), F.char_length(b)
     start = F.struct(*[F.lit(sum(1 << (tau + k) for k in range(e + 1))).alias(f"r{e}") for e in range(tau + 1)])
 
-    def step(acc, j):
+    def step(xs, ys, acc, j):
         ch = F.element_at(ys, j)
-        hit = F.lit(0)
+        n, hit = F.size(xs), F.lit(0)
         for d in range(width):
             i = j + d - tau
             hit = hit.bitwiseOR(F.when((i >= 1) & (i <= n) & (F.get(xs, i - 1) == ch), 1 << d).otherwise(0))
@@ -106,7 +105,9 @@ def within(a: Column, b: Column, tau: int = TAU) -> Column:
         return F.transform(F.array(out), lambda o: F.struct(*[F.get(o, F.lit(e)).alias(f"r{e}") for e in range(tau + 1)]))[0]
 
     steps = F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.expr("CAST(array() AS array<int>)"))
-    end = F.aggregate(steps, start, step, lambda acc: acc)
+    # The characters are bound to a lambda variable, so that each text is split once, not once per step.
+    chars = F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")))
+    end = F.transform(chars, lambda c: F.aggregate(steps, start, lambda acc, j: step(c["x"], c["y"], acc, j)))[0]
     goal = F.call_function("shiftleft", F.lit(1), n - m + tau)
     dist = F.aggregate(
         F.array(end),

@@ -72,3 +72,52 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     kept = F.coalesce("text", F.lit(""))
     return d.select("doc_id", "n_lines", "n_removed", "n_near", "n_links", F.char_length(kept).cast("long").alias("n_kept_chars"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernix.llm import html
+
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quernix.llm import packing
+
+    p = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group")
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernix.llm import decontaminate
+
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernix.llm import secrets
+
+    s = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return s.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernix.llm import quality
+
+    q = quality.judge(table(spark, sf_dir, "documents"))
+    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernix.llm import language
+
+    d = table(spark, sf_dir, "documents")
+    held = (language.remainder("doc_id") == 0).alias("held_out")
+    return language.identify(d, language.fit(d), columns=[F.col("doc_id"), held], schema="doc_id long, held_out boolean")

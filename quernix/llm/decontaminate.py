@@ -60,7 +60,7 @@ def templates(text: str):
     """(token hashes, kinds, core words) of a text; kinds: 0 a word, else the letter of its placeholder."""
     words = text.split()
     if not words:
-        return np.empty(0, U64), np.empty(0, "U1"), []
+        return np.empty(0, U64), np.empty(0, np.uint8), ([], np.empty(0, int))
     v = np.fromiter(map(_WORDS.__getitem__, words), U64, len(words))
     flags = v & U64(31)
     start = np.concatenate([[True], (flags[:-1] & U64(_ENDS)) > 0])
@@ -90,7 +90,7 @@ def _rows(text: str, sizes: list[int], bitmap: np.ndarray | None):
         if bitmap is not None:
             p = w & U64((1 << BITS) - 1)
             on &= ((bitmap[(p >> U64(6)).astype(np.int64)] >> (p & U64(63))) & U64(1)) > 0
-        words, at = where if len(where) else ([], [])
+        words, at = where
         for i in np.flatnonzero(on).tolist():
             held = [j for j in range(i, i + k) if kinds[j]]
             yield i, int(w[i].astype(np.int64)), "".join(chr(kinds[j]) for j in held), [words[at[j]].strip(_EDGE) for j in held]

@@ -57,7 +57,7 @@ def _distance(a: Column, b: Column) -> Column:
 
 
 def _keys(line: Column, n: Column) -> Column:
-    """Array of (key, role): role 1 index, 2 probe, 3 both."""
+    """Array of (key, role, p1, p2): role 1 index, 2 probe, 3 both; p1 and p2 are the keys of the segments tried before."""
     q0 = n - n % STEP
     near = F.when(n % STEP < TAU, q0 - STEP)
 
@@ -66,13 +66,17 @@ def _keys(line: Column, n: Column) -> Column:
 
     def of(q, own):
         g = F.floor(q / (TAU + 1)).cast("int")
-        both = F.lit(3 if own else 2)
-        out = [(key(q, 1, F.lit(1), g), both), (key(q, 3, n - g + 1, g), both), (key(q, 2, g + 1, g), both)]
-        out += [(key(q, 2, g + 1 + s, g), F.lit(2)) for s in (-1, 1)]
-        return [F.struct(k.alias("key"), r.alias("role")) for k, r in out]
+        first, last, mid = key(q, 1, F.lit(1), g), key(q, 3, n - g + 1, g), key(q, 2, g + 1, g)
+        moved = F.array(key(q, 2, g, g), key(q, 2, g + 2, g))
+        none = F.lit(None).cast("long")
+        row = lambda k, r, p1, p2: F.struct(k.alias("key"), F.lit(r).alias("role"), p1.alias("p1"), p2.alias("p2"))
+        role = 3 if own else 2
+        whole = F.array(row(first, role, none, none), row(last, role, first, none), row(mid, role, first, last))
+        # A shifted piece that equals the one in place is the same probe.
+        return F.concat(whole, F.transform(F.array_except(moved, F.array(mid)), lambda k: row(k, 2, first, last)))
 
-    none = F.expr("CAST(array() AS array<struct<key:bigint,role:int>>)")
-    return F.concat(F.array(*of(q0, True)), F.when(near.isNotNull(), F.array(*of(near, False))).otherwise(none))
+    none = F.expr("CAST(array() AS array<struct<key:bigint,role:int,p1:bigint,p2:bigint>>)")
+    return F.concat(of(q0, True), F.when(near.isNotNull(), of(near, False)).otherwise(none))
 
 
 def within(a: Column, b: Column, tau: int = TAU) -> Column:
@@ -118,20 +122,22 @@ def within(a: Column, b: Column, tau: int = TAU) -> Column:
 
 
 def _candidates(lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of line hashes, a < b, that meet in a segment and pass the bounds."""
+    """Pairs (a, b) of line hashes, a < b, that meet in a segment and pass the bounds; each once, in the first segment they meet in."""
     n = F.char_length("line")
     rows = lines.select("h1", "h2", n.alias("n"), _counts(F.col("line")).alias("cs"), _keys(F.col("line"), n).alias("ks"))
     # Equal lines give equal rows: the first of each task, then of all, stands for them.
     rows = rows.groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in ("n", "cs", "ks")])
-    k = rows.select(F.explode("ks").alias("k"), F.col("h1").alias("h"), "n", "cs").select("k.key", (F.col("n") * 4 + F.col("k.role")).alias("nr"), "h", "cs")
+    k = rows.select(F.explode("ks").alias("k"), F.col("h1").alias("h"), "n", "cs").select("k.key", (F.col("n") * 4 + F.col("k.role")).alias("nr"), "h", "cs", "k.p1", "k.p2")
     a, b = k.alias("a"), k.alias("b")
-    na, nb = F.floor(F.col("a.nr") / 4), F.floor(F.col("b.nr") / 4)
+    na, nb = F.shiftright("a.nr", 2), F.shiftright("b.nr", 2)
     meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.h") != F.col("b.h"))
+    for p in ("p1", "p2"):
+        meets &= F.col(f"a.{p}").isNull() | (F.col(f"a.{p}") != F.col(f"b.{p}"))
     roles = (F.col("a.nr").bitwiseAND(1) == 1) & (F.col("b.nr").bitwiseAND(2) == 2)
     # Lines of one length meet both ways; one way is enough.
     sizes = (nb - na <= TAU) & ((nb > na) | ((nb == na) & (F.col("a.h") < F.col("b.h"))))
     j = a.join(b, meets & roles & sizes & (_distance(F.col("a.cs"), F.col("b.cs")) <= 2 * TAU))
-    return j.select(F.least("a.h", "b.h").alias("a"), F.greatest("a.h", "b.h").alias("b")).distinct()
+    return j.select(F.least("a.h", "b.h").alias("a"), F.greatest("a.h", "b.h").alias("b"))
 
 
 def _some(df: DataFrame, h: str, wanted: DataFrame) -> DataFrame:

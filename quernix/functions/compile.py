@@ -116,7 +116,7 @@ def literal(kind: str, v) -> Typed:
 def show_float(c: Column) -> Column:
     """A float as text: the shortest digits, whole numbers without a fraction."""
     whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-    return F.when(whole, F.when(c == 0, F.lit("0")).otherwise(c.cast("decimal(20,0)").cast("string"))).otherwise(F.regexp_replace(F.lower(c.cast("string")), r"e(\d)", "e+$1"))
+    return F.when(whole, F.when(c == 0, F.lit("0")).otherwise(c.cast("decimal(20,0)").cast("string"))).otherwise(F.regexp_replace(F.regexp_replace(F.lower(c.cast("string")), r"\.0e", "e"), r"e(\d)", "e+$1"))
 
 
 def text(x: Typed) -> Column:

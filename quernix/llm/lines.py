@@ -56,27 +56,27 @@ def _distance(a: Column, b: Column) -> Column:
     return sum((F.abs(at(a, i) - at(b, i)) for i in range(1, len(_LETTERS))), F.abs(at(a, 0) - at(b, 0)))
 
 
-def _keys(line: Column, n: Column) -> Column:
-    """Array of (key, role, p1, p2): role 1 index, 2 probe, 3 both; p1 and p2 are the keys of the segments tried before."""
-    q0 = n - n % STEP
-    near = F.when(n % STEP < TAU, q0 - STEP)
-
-    def key(q, i, start, g):
-        return F.xxhash64(q, F.lit(i), F.substring(line, start, g))
+def _hashes(line: Column, n: Column, q: Column) -> Column:
+    """Keys of the segments of length class q: first, last, middle, and the middle shifted by one either way."""
+    g = F.floor(q / (TAU + 1)).cast("int")
+    key = lambda i, start: F.xxhash64(q, F.lit(i), F.substring(line, start, g))
+    return F.array(key(1, F.lit(1)), key(3, n - g + 1), key(2, g + 1), key(2, g), key(2, g + 2))
 
-    def of(q, own):
-        g = F.floor(q / (TAU + 1)).cast("int")
-        first, last, mid = key(q, 1, F.lit(1), g), key(q, 3, n - g + 1, g), key(q, 2, g + 1, g)
-        moved = F.array(key(q, 2, g, g), key(q, 2, g + 2, g))
-        none = F.lit(None).cast("long")
-        row = lambda k, r, p1, p2: F.struct(k.alias("key"), F.lit(r).alias("role"), p1.alias("p1"), p2.alias("p2"))
-        role = 3 if own else 2
-        whole = F.array(row(first, role, none, none), row(last, role, first, none), row(mid, role, first, last))
-        # A shifted piece that equals the one in place is the same probe.
-        return F.concat(whole, F.transform(F.array_except(moved, F.array(mid)), lambda k: row(k, 2, first, last)))
 
-    none = F.expr("CAST(array() AS array<struct<key:bigint,role:int,p1:bigint,p2:bigint>>)")
-    return F.concat(of(q0, True), F.when(near.isNotNull(), of(near, False)).otherwise(none))
+def _rows(k: Column, own: bool) -> Column:
+    """Array of (key, role, p1, p2): role 1 index, 2 probe, 3 both; p1 and p2 are the keys of the segments tried before."""
+    none = F.lit(None).cast("long")
+    row = lambda key, r, p1, p2: F.struct(key.alias("key"), F.lit(r).alias("role"), p1.alias("p1"), p2.alias("p2"))
+    first, last, mid, left, right = (k[i] for i in range(5))
+    role = 3 if own else 2
+    # A shifted piece that equals another is the same probe.
+    return F.array(
+        row(first, role, none, none),
+        row(last, role, first, none),
+        row(mid, role, first, last),
+        row(F.when(left != mid, left), 2, first, last),
+        row(F.when((right != mid) & (right != left), right), 2, first, last),
+    )
 
 
 def within(a: Column, b: Column, tau: int = TAU) -> Column:
@@ -124,10 +124,14 @@ def within(a: Column, b: Column, tau: int = TAU) -> Column:
 def _candidates(lines: DataFrame) -> DataFrame:
     """Pairs (a, b) of line hashes, a < b, that meet in a segment and pass the bounds; each once, in the first segment they meet in."""
     n = F.char_length("line")
-    rows = lines.select("h1", "h2", n.alias("n"), _counts(F.col("line")).alias("cs"), _keys(F.col("line"), n).alias("ks"))
+    line, q0 = F.col("line"), n - n % STEP
+    near = F.when(n % STEP < TAU, _hashes(line, n, q0 - STEP))
+    rows = lines.select("h1", "h2", n.alias("n"), _counts(line).alias("cs"), _hashes(line, n, q0).alias("ks"), near.alias("kn"))
     # Equal lines give equal rows: the first of each task, then of all, stands for them.
-    rows = rows.groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in ("n", "cs", "ks")])
-    k = rows.select(F.explode("ks").alias("k"), F.col("h1").alias("h"), "n", "cs").select("k.key", (F.col("n") * 4 + F.col("k.role")).alias("nr"), "h", "cs", "k.p1", "k.p2")
+    rows = rows.groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in ("n", "cs", "ks", "kn")])
+    # The rows are built above the aggregation, so that each key is hashed once.
+    ks = F.concat(_rows(F.col("ks"), True), F.when(F.col("kn").isNotNull(), _rows(F.col("kn"), False)).otherwise(F.slice(_rows(F.col("ks"), False), 1, 0)))
+    k = rows.select(F.explode(ks).alias("k"), F.col("h1").alias("h"), "n", "cs").where("k.key IS NOT NULL").select("k.key", (F.col("n") * 4 + F.col("k.role")).alias("nr"), "h", "cs", "k.p1", "k.p2")
     a, b = k.alias("a"), k.alias("b")
     na, nb = F.shiftright("a.nr", 2), F.shiftright("b.nr", 2)
     meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.h") != F.col("b.h"))

@@ -108,8 +108,8 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: did, rk, fp, component_id (smallest reachable id), n_links of its fingerprint."""
+def _rooted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The columns of near_duplicates and root, the least fingerprint of the component: ids may be null or repeat across components, roots do not."""
     fps = cut(fingerprints(df, id_col, text_col))
     nodes = fps.groupBy("fp").agg(F.min(real_id()).alias("low"))
     pairs = cut(links(nodes))
@@ -117,18 +117,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(pairs).withColumnRenamed("node", "fp")
     linked = nodes.join(roots, "fp").join(degree, "fp")
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = linked.join(lowest, "root").select("fp", "component_id", "n_links")
-    alone = nodes.join(linked, "fp", "left_anti").select("fp", F.col("low").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return fps.join(linked.unionByName(alone), "fp").select("did", "rk", "fp", "component_id", "n_links")
+    linked = linked.join(lowest, "root").select("fp", "component_id", "n_links", "root")
+    alone = nodes.join(linked, "fp", "left_anti").select("fp", F.col("low").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.col("fp").alias("root"))
+    return fps.join(linked.unionByName(alone), "fp").select("did", "rk", "fp", "component_id", "n_links", "root")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: did, rk, fp, component_id (smallest reachable id), n_links of its fingerprint."""
+    return _rooted(df, id_col, text_col).drop("root")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df with one document of each component: the one with the smallest id (of rows that repeat
     that id, the one with the smallest text key; of rows that repeat both, one). Columns stay as they are."""
     did, rk = fresh(df, "did", "rk")
-    nd = near_duplicates(df, id_col, text_col)
-    # A component's id is one of its documents' ids, so its rows need no grouping to find the one that stays.
-    keep = nd.where(real_id().eqNullSafe(F.col("component_id"))).groupBy("did").agg(F.min("rk").alias("rk"))
+    # Partial aggregation by root: a large component sends one row per task.
+    least = F.min(F.struct(real_id().isNull().alias("no_id"), "did", "rk")).alias("at")
+    keep = _rooted(df, id_col, text_col).groupBy("root").agg(least).select("at.did", "at.rk")
     k = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     d = df.withColumn(did, k).withColumn(rk, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     keep = keep.select(F.col("did").alias(did), F.col("rk").alias(rk))

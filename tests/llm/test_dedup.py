@@ -162,6 +162,17 @@ def test_simhash_brute(spark):
     assert simhash.near_duplicates(e).count() == 0 and simhash.drop_near_duplicates(e).columns == e.columns
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    rnd = random.Random(12)
+    make = lambda k: " ".join(f"{k}{rnd.randrange(10**6)}" for _ in range(40))
+    alone = [(None, make("a")), (None, make("b")), (None, make("c")), (7, make("d")), (7, make("e")), (None, ""), (8, make("f"))]
+    copies = [(8, alone[0][1]), (None, alone[3][1]), (9, alone[4][1]), (8, alone[6][1])]
+    df = spark.createDataFrame(alone + copies, "doc_id long, text string")
+    kept = Counter((r["doc_id"], r["text"]) for r in rows(simhash.drop_near_duplicates(df)))
+    # One row of each text; a real id goes before a null one.
+    assert kept == Counter([copies[0], *alone[1:]])
+
+
 def test_links_at_the_limit(spark):
     rnd = random.Random(1)
     fps = []

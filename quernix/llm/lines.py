@@ -10,14 +10,15 @@ bit-parallel automaton: one bit per diagonal of the band, one number per count o
 
 A line of min_chars or more goes if an equal or linked line starts earlier (smaller document id, or same
 id and smaller line number), judged on the input. Every line but the first of an equal group goes; the
-first goes too if a linked line starts earlier.
+first goes too if a linked line starts earlier. With ``short`` shorter lines that are not blank lose their
+later equal copies too; the edit join stays with lines of min_chars or more.
 
 Scale: equal lines collapse by partial aggregation before any shuffle; the candidate join carries keys,
 not texts; texts of candidates are found again through a bitmap of at most 2^16 words, whose size
 does not depend on the data; hot keys are split by the adaptive skew join.
 
 Defined results: a null text stays null and has no lines; an empty text has one empty line; lines shorter
-than min_chars always stay; a null id sorts before all others; rows that repeat an id compare by line
+than min_chars stay unless ``short`` is set, blank ones always; a null id sorts before all others; rows that repeat an id compare by line
 number only; an empty table gives no rows; all columns of the input come back, whatever their names.
 """
 
@@ -32,11 +33,14 @@ TAU, STEP, MIN_CHARS, BITS = 2, 8, 30, 22
 _LETTERS = "enthraoi"
 
 
-def _lines(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def _lines(df: DataFrame, id_col: str, text_col: str, min_chars: int, short: bool = False) -> DataFrame:
     """(did, rk, ln, line, h1, h2) of every line that takes part; h1 and h2 are independent 64-bit hashes."""
+    takes_part = F.char_length("line") >= min_chars
+    if short:
+        takes_part |= F.col("line").rlike(r"\S")
     d = df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(text_col).alias("rk"), F.posexplode(F.split(text_col, "\n", -1)).alias("ln", "line")
-    ).where(F.char_length("line") >= min_chars)
+    ).where(takes_part)
     return d.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
 
 
@@ -167,23 +171,23 @@ def linked_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return j.select("a", "a2", "aat", "b", "b2", "bat", "dist")
 
 
-def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """(did, rk, ln, near, n_links) of every line that goes; near: a linked line, not an equal one, is the reason."""
     # Of each link, the line that starts later; on a tie neither goes, but both keep the link.
     ends = cut(linked_lines(df, id_col, text_col, min_chars))
     one = ends.select(F.col("a").alias("h1"), F.col("a2").alias("h2"), (F.col("aat") > F.col("bat")).alias("later"))
     two = ends.select(F.col("b").alias("h1"), F.col("b2").alias("h2"), (F.col("bat") > F.col("aat")).alias("later"))
     near = one.unionByName(two).groupBy("h1", "h2").agg(F.bool_or("later").alias("near"), F.count("*").alias("n_links"))
-    occ = _lines(df, id_col, text_col, min_chars).select("did", "rk", "ln", "h1", "h2")
+    occ = _lines(df, id_col, text_col, min_chars, short).select("did", "rk", "ln", "h1", "h2")
     groups = occ.groupBy("h1", "h2").agg(F.min(F.struct("did", "ln")).alias("at"), F.count("*").alias("n"))
     groups = groups.join(near, ["h1", "h2"], "left").where("n > 1 OR near IS NOT NULL").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return occ.join(groups, ["h1", "h2"]).select("did", "rk", "ln", (F.struct("did", "ln") > F.col("at")).alias("equal"), "near", "n_links").where("equal OR near OR n_links > 0")
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, counts: bool = False) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, counts: bool = False, short: bool = False) -> DataFrame:
     """df with duplicate lines taken out of its text column; with counts also n_lines, n_removed, n_near and n_links."""
     did, rk, gone = fresh(df, "did", "rk", "gone")
-    g = duplicate_lines(df, id_col, text_col, min_chars)
+    g = duplicate_lines(df, id_col, text_col, min_chars, short)
     g = g.groupBy(F.col("did").alias(did), F.col("rk").alias(rk)).agg(
         F.struct(
             F.collect_set(F.when(F.col("equal") | F.col("near"), F.col("ln"))).alias("ln"),

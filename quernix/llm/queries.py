@@ -69,7 +69,7 @@ FROM r
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernix.llm import lines
 
-    d = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    d = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True, short=True)
     kept = F.coalesce("text", F.lit(""))
     return d.select("doc_id", "n_lines", "n_removed", "n_near", "n_links", F.char_length(kept).cast("long").alias("n_kept_chars"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 

@@ -94,6 +94,18 @@ def test_lines_brute(spark):
     assert got == brute_lines(list(enumerate(texts)))
 
 
+def test_op3_short_lines(spark, tmp_path):
+    """Equal short lines go but the first, in the query too; blank lines stay."""
+    base = "a long line that stays where it is, number one"
+    texts = [f"Home\n\n{base}\nMenu 12\nHome", "Menu 12\n \nhome\n \n", None, "Home\nMenu 13"]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {0: f"Home\n\n{base}\nMenu 12", 1: " \nhome\n \n", 2: None, 3: "Menu 13"}
+    got = rows(lines.dedup_lines(docs(spark, texts), short=True))
+    assert {r["doc_id"]: r["text"] for r in got} == want
+    digests = rows(queries.op3_line_dedup(spark, str(tmp_path)))
+    assert {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in digests} == {i: ((1, 1, 0, 1)[i], sha(t or "")) for i, t in want.items()}
+
+
 def test_lines_odd(spark):
     df = odd(spark).where("doc_id IS NULL OR doc_id <> 6")
     got = rows(lines.dedup_lines(df))

@@ -2,16 +2,22 @@
 
 Texts become templates: numbers, names (capitals inside a sentence) and units after a number turn into
 typed placeholders, other words lose case and outer punctuation. Windows of WINDOW template tokens of the
-benchmark (whole items where those are shorter) meet those of the documents in a hash join. Within one document,
-item and alignment the slot values must be consistent: one value of the item always stands for one
-value of the document. The item is found in the document if consistent windows cover at least
-MIN_COVER of the item's windows; equal values make it verbatim, others re-parameterised.
+benchmark (whole items where those are shorter) meet those of the documents in a hash join. A capitalised word
+that opens a sentence or a line may be a name or not, so its windows have both forms. Every window also has a literal
+form (all its words without case, values included), which meets what the templates cannot: windows in
+which placeholders outnumber words, and copies in other case.
+
+Within one document, item, alignment and form the slot values must be consistent: one value of the item
+always stands for one value of the document. The item is found in the document if consistent windows cover at least
+MIN_COVER of the item's windows, or of its windows that have a template; equal values make it verbatim, others
+re-parameterised.
 
 Documents shuffle only the windows that a bitmap of fixed size, built from the benchmark, lets through.
 Items with equal templates and slots are one item (the smallest item_id stands for them).
 
 Defined results: null and empty texts and items match nothing, as do items without letters; windows in
-which placeholders outnumber words are not compared; a null document id stays null; repeated rows
+which placeholders outnumber words, and name forms with fewer than MIN_WORDS words, have no template and match
+literally only; common words (_PLAIN) are never names; a null document id stays null; repeated rows
 give repeated results; empty tables give no rows; other columns are ignored.
 """
 
@@ -19,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +34,16 @@ from pyspark.sql import functions as F
 
 from quernix.llm.common import NULL_ID, U64, cut, fresh, keyed, mix, real_id, roll
 
-WINDOW, MIN_COVER, BITS = 8, 0.5, 22
+WINDOW, MIN_COVER, MIN_WORDS, BITS = 8, 0.5, 4, 22
 TABLE = 250_000
-_SCHEMA = "did long, rk long, pos long, w long, kinds string, slots array<string>"
+#: form: 0 a template whose sentence openers are words, 1 one whose openers are names, 2 a template without openers, 3 literal.
+_SCHEMA = "did long, rk long, pos long, w long, size int, form int, slots array<string>"
 _NUM = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%|k|m)?|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|fifty|hundred|thousand|million|half|twice")
 _UNITS = frozenset("km m cm mm kg g mg lb lbs oz l ml mile miles meter meters metre metres foot feet inch inches hour hours minute minutes second seconds day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees litre litres liter liters gram grams kilogram kilograms ton tons mph kmh".split())
+_PLAIN = frozenset("a an the this that these those what which who whom whose how when where why if is are was were do does did can could should would has have had in on at of for from to by with and or but not no each every all some many it its he she they we you his her their our your there then after before during suppose find calculate compute".split())
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’„…–—·•¿¡"
 _ENDS, _CAP, _NUMBER, _UNIT, _EMPTY = 1, 2, 4, 8, 16
+_LITERAL = U64(0x4234567890ABCDE7)
 _MARK = {k: U64(v) for k, v in {"N": 0x1234567890ABCDE1, "A": 0x2234567890ABCDE3, "U": 0x3234567890ABCDE5}.items()}
 
 
@@ -45,7 +55,7 @@ class _Words(dict):
 
         core = w.strip(_EDGE)
         low = core.lower()
-        flags = _ENDS * (w.rstrip("\"'”’)»")[-1:] in (".", "!", "?")) | _CAP * core[:1].isupper() | _UNIT * (low in _UNITS) | _EMPTY * (not core)
+        flags = _ENDS * (w.rstrip("\"'”’)»")[-1:] in (".", "!", "?")) | _CAP * (core[:1].isupper() and low not in _PLAIN) | _UNIT * (low in _UNITS) | _EMPTY * (not core)
         flags |= _NUMBER * bool(core and _NUM.fullmatch(low))
         v = (xxh64_intdigest(low) >> 5) << 5 | flags
         if len(self) < TABLE:
@@ -57,49 +67,62 @@ _WORDS = _Words()
 
 
 def templates(text: str):
-    """(token hashes, kinds, core words) of a text; kinds: 0 a word, else the letter of its placeholder."""
-    words = text.split()
+    """(template hashes, the same with openers as names, literal hashes, kinds, kinds with openers as names, (words, places)) of a
+    text, by token; kinds: 0 a word, else the letter of its placeholder."""
+    parts = [x.split() for x in text.splitlines()]
+    words = list(chain.from_iterable(parts))
     if not words:
-        return np.empty(0, U64), np.empty(0, np.uint8), ([], np.empty(0, int))
+        e, k = np.empty(0, U64), np.empty(0, np.uint8)
+        return e, e, e, k, k, (words, np.empty(0, int))
     v = np.fromiter(map(_WORDS.__getitem__, words), U64, len(words))
     flags = v & U64(31)
     start = np.concatenate([[True], (flags[:-1] & U64(_ENDS)) > 0])
+    ends = np.cumsum([len(x) for x in parts])
+    start[ends[ends < len(words)]] = True
     keep = (flags & U64(_EMPTY)) == 0
     v, flags, start = v[keep], flags[keep], start[keep]
     number = (flags & U64(_NUMBER)) > 0
     unit = ((flags & U64(_UNIT)) > 0) & np.concatenate([[False], number[:-1]])[: len(v)]
-    name = ((flags & U64(_CAP)) > 0) & ~start & ~number & ~unit
-    h = v >> U64(5)
+    cap = ((flags & U64(_CAP)) > 0) & ~number & ~unit
+    literal = v >> U64(5)
+    h = literal.copy()
     kinds = np.zeros(len(v), np.uint8)
-    for k, on in (("N", number), ("U", unit), ("A", name)):
-        h = np.where(on, _MARK[k], h)
+    for k, on in (("N", number), ("U", unit), ("A", cap & ~start)):
+        h[on] = _MARK[k]
         kinds[on] = ord(k)
-    at = np.flatnonzero(keep)
-    return mix(h), kinds, (words, at)
+    opened, named = h.copy(), kinds.copy()
+    opened[cap & start] = _MARK["A"]
+    named[cap & start] = ord("A")
+    return mix(h), mix(opened), mix(literal ^ _LITERAL), kinds, named, (words, np.flatnonzero(keep))
 
 
 def _rows(text: str, sizes: list[int], bitmap: np.ndarray | None):
-    """(position, window hash, kinds, slots) of the windows of the given sizes that may matter."""
-    h, kinds, where = templates(text)
-    slots = np.concatenate([[0], np.cumsum(kinds > 0)])
+    """(position, window hash, size, form, slots) of the windows of the given sizes that may matter."""
+    h, opened, literal, kinds, named, (words, at) = templates(text)
+    count = lambda x: np.concatenate([[0], np.cumsum(x > 0)])
+    slots, more = count(kinds), count(named)
     for k in sizes:
         if len(h) < k:
             continue
-        w = mix(roll(h, k) + U64(k))
-        on = 2 * (slots[k:] - slots[:-k]) <= k
-        if bitmap is not None:
-            p = w & U64((1 << BITS) - 1)
-            on &= ((bitmap[(p >> U64(6)).astype(np.int64)] >> (p & U64(63))) & U64(1)) > 0
-        words, at = where
-        for i in np.flatnonzero(on).tolist():
-            held = [j for j in range(i, i + k) if kinds[j]]
-            yield i, int(w[i].astype(np.int64)), "".join(chr(kinds[j]) for j in held), [words[at[j]].strip(_EDGE) for j in held]
+        n, m = slots[k:] - slots[:-k], more[k:] - more[:-k]
+        # Without an opener both templates are one.
+        forms = [(h, kinds, 2 * n <= k), (literal, None, np.ones(len(n), bool))]
+        if (m > n).any():
+            forms.append((opened, named, (m > n) & (2 * m <= k) & (k - m >= MIN_WORDS)))
+        for i, (x, held, on) in enumerate(forms):
+            w = mix(roll(x, k) + U64(k))
+            if bitmap is not None:
+                p = w & U64((1 << BITS) - 1)
+                on = on & (((bitmap[(p >> U64(6)).astype(np.int64)] >> (p & U64(63))) & U64(1)) > 0)
+            for j in np.flatnonzero(on).tolist():
+                form = (2 if n[j] == m[j] else 0, 3, 1)[i]
+                yield j, int(w[j].astype(np.int64)), k, form, [] if held is None else [words[at[t]].strip(_EDGE) for t in range(j, j + k) if held[t]]
 
 
 def _emit(rows: list) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 6
-    kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.string())]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["did", "rk", "pos", "w", "kinds", "slots"])
+    cols = list(zip(*rows)) or [()] * 7
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.list_(pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["did", "rk", "pos", "w", "size", "form", "slots"])
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -108,8 +131,8 @@ def _item_windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
         for did, rk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             text = text.as_py()
             n = len(templates(text)[0])
-            if n:
-                rows += [(did, rk, i, w, f"{min(n, size)}", s) for i, w, _, s in _rows(text, [min(n, size)], None)]
+            if n and any(map(str.isalpha, text)):
+                rows += [(did, rk, *x) for x in _rows(text, [min(n, size)], None)]
         yield _emit(rows)
 
 
@@ -119,7 +142,7 @@ def matches(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_c
     # Items with one text are one item.
     items = items.groupBy("rk", "tx").agg(F.min("did").alias("did")).select("did", "rk", "tx")
     iw = cut(items.mapInArrow(lambda it: _item_windows(it, window), _SCHEMA))
-    sizes = sorted(int(r[0]) for r in iw.select("kinds").distinct().collect())  # at most `window` values
+    sizes = sorted(int(r[0]) for r in iw.select("size").distinct().collect())  # at most `window` values
     p = F.col("w").bitwiseAND((1 << BITS) - 1)
     words = iw.groupBy(F.shiftright(p, 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(w & 63 AS INT))")).alias("m")).collect()  # at most 2^(BITS - 6) rows
     bitmap = np.zeros(1 << (BITS - 6), U64)
@@ -131,25 +154,32 @@ def matches(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_c
         for b in batches:
             rows = []
             for did, rk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                rows += [(did, rk, i, w, k, s) for i, w, k, s in _rows(text.as_py(), sizes, shared.value)]
+                rows += [(did, rk, *x) for x in _rows(text.as_py(), sizes, shared.value)]
             yield _emit(rows)
 
     dw = keyed(docs, id_col, text_col).mapInArrow(scan, _SCHEMA).select("did", "rk", F.col("pos").alias("dpos"), "w", F.col("slots").alias("dslots"))
-    total = iw.groupBy("did", "rk").agg(F.count("*").alias("n")).select(F.col("did").alias("item"), F.col("rk").alias("irk"), F.col("n").alias("n_windows"))
-    iw = iw.select(F.col("did").alias("item"), F.col("rk").alias("irk"), F.col("pos").alias("ipos"), "w", F.col("slots").alias("islots"))
+    template = F.col("form") != 3
+    total = iw.groupBy("did", "rk").agg(F.countDistinct("pos").alias("n"), F.countDistinct(F.when(template, F.col("pos"))).alias("nt"))
+    total = total.select(F.col("did").alias("item"), F.col("rk").alias("irk"), F.col("n").alias("n_windows"), F.col("nt"))
+    iw = iw.select(F.col("did").alias("item"), F.col("rk").alias("irk"), F.col("pos").alias("ipos"), "w", "form", F.col("slots").alias("islots"))
     pairs = F.arrays_zip("islots", "dslots")
-    j = dw.join(iw, "w").select("did", "rk", "item", "irk", (F.col("dpos") - F.col("ipos")).alias("line"), "ipos", pairs.alias("pairs"))
+    j = dw.join(iw, "w").select("did", "rk", "item", "irk", (F.col("dpos") - F.col("ipos")).alias("line"), "ipos", "form", pairs.alias("pairs"))
+    # Windows without an opener, and literal ones, count in both forms.
+    both = F.array(F.lit(0), F.lit(1))
+    j = j.withColumn("as", F.explode(F.when(F.col("form") < 2, F.array("form")).otherwise(both)))
     # One alignment of one item in one document: its size is bounded by the item's.
-    a = j.groupBy("did", "rk", "item", "irk", "line").agg(F.collect_set("ipos").alias("ip"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("ps"))
+    a = j.groupBy("did", "rk", "item", "irk", "line", "as").agg(
+        F.collect_set("ipos").alias("ip"), F.collect_set(F.when(template, F.col("ipos"))).alias("tp"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("ps")
+    )
     consistent = F.size(F.array_distinct("ps.islots")) == F.size("ps")
     a = a.where(consistent)
     # Alignments are tried in turn by windows covered; parts of one item around an inserted word add up.
+    many = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long")
     g = a.groupBy("did", "rk", "item", "irk").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("ip")))).cast("long").alias("n_matched"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("ps")))).cast("long").alias("n_slots"),
-        F.bool_and(F.forall("ps", lambda x: x["islots"] == x["dslots"])).alias("verbatim"),
+        many("ip").alias("n_matched"), many("tp").alias("mt"), many("ps").alias("n_slots"), F.bool_and(F.forall("ps", lambda x: x["islots"] == x["dslots"])).alias("verbatim")
     )
-    g = g.join(total, ["item", "irk"]).where(F.col("n_matched") >= F.col("n_windows") * min_cover)
+    covered = (F.col("n_matched") >= F.col("n_windows") * min_cover) | ((F.col("mt") > 0) & (F.col("mt") >= F.col("nt") * min_cover))
+    g = g.join(total, ["item", "irk"]).where(covered)
     return g.select("did", "rk", F.when(F.col("item") != NULL_ID, F.col("item")).alias("item_id"), "n_windows", "n_matched", "n_slots", "verbatim")
 
 

@@ -240,6 +240,20 @@ def test_decontamination(spark):
     assert decontaminate.drop_contaminated(odd(spark), bench).count() == len(ODD)
 
 
+def found(spark, texts, items):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): (r["verbatim"], r["n_matched"], r["n_windows"]) for r in rows(decontaminate.contaminated(docs(spark, texts), bench))}
+
+
+def test_decontamination_literal_windows(spark):
+    """Items of mostly numbers or names, and copies in other case, match word for word."""
+    items = ["What is 12 + 35 * 4 - 7 ?", ITEMS[1][1], "Ann Lee, Bob Ray, Cy Dow, Dee Fox and Eve Hill met in Rome.", "12 + 35 = 47"]
+    texts = ["Sums. What is 12 + 35 * 4 - 7 ? Try it.", "HEAD " + items[1].upper(), "Read: " + items[1].title(), "So " + items[2].lower(), "What is 13 + 35 * 4 - 7 ?", "note 12 + 35 = 47"]
+    got = found(spark, texts, items)
+    assert set(got) == {(0, 0), (1, 1), (2, 1), (3, 2)} and all(v for v, *_ in got.values())
+    assert got[(0, 0)][1:] == (1, 1) and got[(1, 1)][1:] == (8, 8)
+
+
 def test_decontamination_finds_the_planted(spark):
     """Against a brute-force search for runs of eight words that a document shares with an item."""
     norm = lambda t: [w.strip(".,!?;:\"'()").lower() for w in (t or "").split()]

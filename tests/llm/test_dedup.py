@@ -254,6 +254,17 @@ def test_decontamination_literal_windows(spark):
     assert got[(0, 0)][1:] == (1, 1) and got[(1, 1)][1:] == (8, 8)
 
 
+def test_decontamination_openers(spark):
+    """Names that open a sentence, and items after a heading, a mark or a line without a stop."""
+    tom = "Tom has 5 apples. Tom gives 2 apples away. Tom eats 1 apple. How many remain?"
+    items = [tom, "What is the capital of France?", "Photosynthesis turns light into sugar inside leaves."]
+    bob = tom.replace("Tom", "Bob").replace("5", "9").replace("2", "4").replace("1", "3")
+    texts = [bob, "Question 4\n" + items[1], "Q: " + items[1], "Q: " + bob, "Fact " + items[2], bob.replace("Bob eats", "Al eats"), "Tom has gone home. How many remain?"]
+    got = found(spark, texts, items)
+    assert set(got) == {(0, 0), (1, 1), (2, 1), (3, 0), (4, 2)}
+    assert not got[(0, 0)][0] and not got[(3, 0)][0] and got[(1, 1)][0] and got[(2, 1)][0] and got[(4, 2)][0]
+
+
 def test_decontamination_finds_the_planted(spark):
     """Against a brute-force search for runs of eight words that a document shares with an item."""
     norm = lambda t: [w.strip(".,!?;:\"'()").lower() for w in (t or "").split()]

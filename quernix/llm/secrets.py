@@ -3,7 +3,8 @@
 Base spans come from three patterns (assign, access, hex). The method adds spans of kind novel: long
 mixed strings after a sensitive word, measured by the bytes that they add to a zstandard frame primed
 with the text around them and a dictionary of common identifiers. What the dictionary and the
-surroundings explain compresses; what stays near its own length is reported.
+surroundings explain compresses; what stays near its own length, or near what a random string of its alphabet
+and length adds, is reported. A reported span is sensitive context for the next; lines of a PEM private key need none.
 
 Defined results: a null or empty text has no spans; offsets count code points; a null id stays null;
 repeated rows are scanned each; an empty table gives no rows; other columns are ignored.
@@ -11,8 +12,13 @@ repeated rows are scanned each; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+import math
+import random
 import re
+import string
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +31,12 @@ _SENSITIVE = re.compile(r"(?ai:pass|pwd|secret|token|key|auth|bearer|cred|privat
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
 #: Share of a candidate's bytes that must be new, how far a sensitive word may stand before it, and text used as context.
 NOVELTY, NEAR, AROUND = 0.75, 48, 512
+#: Share of a random string's character entropy; words and numbers in a separated name stay well below it.
+EVEN = 0.93
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*-----(.*?)(?:-----END|\Z)", re.S)
+_PEM_LINE = re.compile(r"(?m)^[ \t]*([A-Za-z0-9+/]+={0,2})[ \t\r]*$")
+_D, _U, _L = string.digits, string.ascii_uppercase, string.ascii_lowercase
+_ALPHABETS = (_D + "abcdef", _D + "ABCDEF", _D + "abcdefABCDEF", _U + "234567", _L + "234567", _D + _L, _D + _U, _D + _L + _U, _D + _L + _U + "+/", _D + _L + _U + "-_", _D + _L + _U + "+/_=~-")
 _IDENTIFIERS = (
     "getElementById addEventListener className function return const let var import export default static public private protected void "
     "string integer boolean number object array index length value result error message request response handler callback context config "
@@ -43,6 +55,28 @@ def novelty(candidate: bytes, context: bytes) -> float:
     return (len(c.compress(candidate)) - len(c.compress(b""))) / max(1, len(candidate))
 
 
+def evenness(s: str) -> float:
+    """Entropy of the characters in bits."""
+    return sum(n * math.log2(len(s) / n) for n in Counter(s).values()) / len(s)
+
+
+@lru_cache(4096)
+def _random_like(alphabet: str, n: int) -> tuple[float, float]:
+    """Novelty and evenness of a random string; the same one for the same arguments."""
+    s = "".join(random.Random(n).choices(alphabet, k=n))
+    return novelty(s.encode(), b""), evenness(s)
+
+
+def is_novel(s: str, context: bytes) -> bool:
+    got = novelty(s.encode(), context)
+    if got >= NOVELTY:
+        return True
+    core = s.rstrip("=")
+    alphabet = next(a for a in _ALPHABETS if set(core) <= set(a))
+    added, even = _random_like(alphabet, len(s))
+    return got >= NOVELTY * added and evenness(core) >= EVEN * even
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the three patterns."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -54,18 +88,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     if not _SENSITIVE.search(text):
         return []
-    out = []
+    blocks = [(m.span(1), [x.span(1) for x in _PEM_LINE.finditer(m[1])]) for m in _PEM.finditer(text)]
+    key_lines = [(at[0] + x, at[0] + y) for at, found in blocks for x, y in found]
+    key_lines = [(a, b) for a, b in key_lines if not any(x < b and a < y for x, _, y in base)]
+    out = [(a, 3, b) for a, b in key_lines]
+    ends = [y for _, _, y in base]
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
         s = m[0]
-        if not (any(map(str.isdigit, s)) and any(map(str.isalpha, s))) or not _SENSITIVE.search(text, max(0, a - NEAR), a):
+        if not (any(map(str.isdigit, s)) and any(map(str.isalpha, s))):
             continue
-        if any(x < b and a < y for x, _, y in base):
+        if not _SENSITIVE.search(text, max(0, a - NEAR), a) and not any(0 <= a - y <= NEAR for y in ends):
+            continue
+        if any(x < b and a < y for x, _, y in base) or any(x < b and a < y for x, y in key_lines):
             continue
         around = text[max(0, a - AROUND) : a] + "\n" + text[b : b + AROUND]
-        if novelty(s.encode(), around.encode()) >= NOVELTY:
+        if is_novel(s, around.encode()):
             out.append((a, 3, b))
-    return out
+            ends.append(b)
+    return sorted(out)
 
 
 def _join(spans: list[tuple[int, int, int]]) -> str:

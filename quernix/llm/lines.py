@@ -5,21 +5,22 @@ pigeonhole argument with edits counted from the left, a linked longer (or equal)
 at its start, segment 3 at its end, or segment 2 shifted by at most one. Segment lengths follow the
 line's length class (a multiple of STEP), so neighbouring lengths share most probes. Index and probe
 substrings meet as 64-bit keys in one equality join whose condition checks the lengths and a bound on
-letter counts (one edit moves the counts by at most 2). What is left is verified on the texts by a banded
-bit-parallel automaton: one bit per diagonal of the band, one number per count of errors.
+the counts of eight letters (one edit moves the counts by at most 2). What is left is verified on the texts
+by a banded bit-parallel automaton: one bit per diagonal of the band, one number per count of errors. Shared
+ends are cut off before, and lines whose automaton dies within LOOK characters are not read further.
 
-A line of min_chars or more goes if an equal or linked line starts earlier (smaller document id, or same
-id and smaller line number), judged on the input. Every line but the first of an equal group goes; the
-first goes too if a linked line starts earlier. With ``short`` shorter lines that are not blank lose their
-later equal copies too; the edit join stays with lines of min_chars or more.
+The edits allowed follow the length: none in lines under min_chars, TAU from there. A line goes if an equal
+or linked line starts earlier (smaller document id, or same id and smaller line number), judged on the
+input: every line but the first of an equal group goes; the first goes too if a linked line starts earlier.
 
 Scale: equal lines collapse by partial aggregation before any shuffle; the candidate join carries keys,
 not texts; texts of candidates are found again through a bitmap of at most 2^16 words, whose size
 does not depend on the data; hot keys are split by the adaptive skew join.
 
-Defined results: a null text stays null and has no lines; an empty text has one empty line; lines shorter
-than min_chars stay unless ``short`` is set, blank ones always; a null id sorts before all others; rows that repeat an id compare by line
-number only; an empty table gives no rows; all columns of the input come back, whatever their names.
+Defined results: a null text stays null and has no lines; an empty text has one empty line; blank lines
+always stay; a null id sorts before all others; rows that repeat an id compare by line number only; an
+empty table gives no rows; all columns of the input come back, whatever their names. Ids are whole numbers
+(or text that casts to them).
 """
 
 from __future__ import annotations
@@ -30,17 +31,16 @@ from pyspark.sql import functions as F
 from quernix.llm.common import NULL_ID, cut, fresh
 
 TAU, STEP, MIN_CHARS, BITS = 2, 8, 30, 22
+#: Characters of the verification's first look at two lines, from where they begin to differ.
+LOOK = 24
 _LETTERS = "enthraoi"
 
 
-def _lines(df: DataFrame, id_col: str, text_col: str, min_chars: int, short: bool = False) -> DataFrame:
-    """(did, rk, ln, line, h1, h2) of every line that takes part; h1 and h2 are independent 64-bit hashes."""
-    takes_part = F.char_length("line") >= min_chars
-    if short:
-        takes_part |= F.col("line").rlike(r"\S")
+def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(did, rk, ln, line, h1, h2) of every line that is not blank; h1 and h2 are independent 64-bit hashes."""
     d = df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(text_col).alias("rk"), F.posexplode(F.split(text_col, "\n", -1)).alias("ln", "line")
-    ).where(takes_part)
+    ).where(F.col("line").rlike(r"\S"))
     return d.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
 
 
@@ -60,38 +60,42 @@ def _distance(a: Column, b: Column) -> Column:
     return sum((F.abs(at(a, i) - at(b, i)) for i in range(1, len(_LETTERS))), F.abs(at(a, 0) - at(b, 0)))
 
 
-def _hashes(line: Column, n: Column, q: Column) -> Column:
+def _keys(line: Column, n: Column, q: Column) -> list[Column]:
     """Keys of the segments of length class q: first, last, middle, and the middle shifted by one either way."""
     g = F.floor(q / (TAU + 1)).cast("int")
     key = lambda i, start: F.xxhash64(q, F.lit(i), F.substring(line, start, g))
-    return F.array(key(1, F.lit(1)), key(3, n - g + 1), key(2, g + 1), key(2, g), key(2, g + 2))
+    return [key(1, F.lit(1)), key(3, n - g + 1), key(2, g + 1), key(2, g), key(2, g + 2)]
 
 
-def _rows(k: Column, own: bool) -> Column:
-    """Array of (key, role, p1, p2): role 1 index, 2 probe, 3 both; p1 and p2 are the keys of the segments tried before."""
+def _rows(keys: list[Column], own: bool) -> list[Column]:
+    """Structs (key, role, p1, p2): role 1 index, 2 probe, 3 both; p1 and p2 are the keys of the segments tried before."""
     none = F.lit(None).cast("long")
     row = lambda key, r, p1, p2: F.struct(key.alias("key"), F.lit(r).alias("role"), p1.alias("p1"), p2.alias("p2"))
-    first, last, mid, left, right = (k[i] for i in range(5))
+    first, last, mid, left, right = keys
     role = 3 if own else 2
     # A shifted piece that equals another is the same probe.
-    return F.array(
+    return [
         row(first, role, none, none),
         row(last, role, first, none),
         row(mid, role, first, last),
         row(F.when(left != mid, left), 2, first, last),
         row(F.when((right != mid) & (right != left), right), 2, first, last),
-    )
+    ]
 
 
-def within(a: Column, b: Column, tau: int = TAU) -> Column:
-    """The edit distance of two strings if it is at most tau, else null.
+def _bind(c: Column, f) -> Column:
+    """f(c) with c evaluated once, however often f uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
+def _states(a: Column, b: Column, upto: Column, tau: int) -> Column:
+    """The automaton after the first ``upto`` characters of b: r0 .. r<tau>, for so many errors at most.
 
     Bit d of number e says: the prefix of a that ends at diagonal d of the band matches the current
     prefix of b with at most e edits.
     """
     width = 2 * tau + 1
     full = (1 << width) - 1
-    n, m = F.char_length(a), F.char_length(b)
     start = F.struct(*[F.lit(sum(1 << (tau + k) for k in range(e + 1))).alias(f"r{e}") for e in range(tau + 1)])
 
     def step(xs, ys, acc, j):
@@ -110,32 +114,56 @@ def within(a: Column, b: Column, tau: int = TAU) -> Column:
                 F.array(x["c"].bitwiseAND(hit).bitwiseOR(x["p"]).bitwiseOR(F.shiftright(x["p"], 1)).bitwiseOR(F.shiftleft(F.element_at(done, -1), 1)).bitwiseAND(full)),
             ),
         )
-        return F.transform(F.array(out), lambda o: F.struct(*[F.get(o, F.lit(e)).alias(f"r{e}") for e in range(tau + 1)]))[0]
+        return _bind(out, lambda o: F.struct(*[F.get(o, F.lit(e)).alias(f"r{e}") for e in range(tau + 1)]))
 
-    steps = F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.expr("CAST(array() AS array<int>)"))
+    steps = F.when(upto > 0, F.sequence(F.lit(1), upto)).otherwise(F.expr("CAST(array() AS array<int>)"))
     # The characters are bound to a lambda variable, so that each text is split once, not once per step.
-    chars = F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")))
-    end = F.transform(chars, lambda c: F.aggregate(steps, start, lambda acc, j: step(c["x"], c["y"], acc, j)))[0]
+    chars = F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"))
+    return _bind(chars, lambda c: F.aggregate(steps, start, lambda acc, j: step(c["x"], c["y"], acc, j)))
+
+
+def within(a: Column, b: Column, tau: int = TAU) -> Column:
+    """The edit distance of two strings if it is at most tau, else null."""
+    n, m = F.char_length(a), F.char_length(b)
     goal = F.call_function("shiftleft", F.lit(1), n - m + tau)
-    dist = F.aggregate(
-        F.array(end),
-        F.lit(None).cast("int"),
-        lambda _, r: F.coalesce(*[F.when(r[f"r{e}"].bitwiseAND(goal) != 0, e) for e in range(tau + 1)], F.lit(None).cast("int")),
-    )
+    none = F.lit(None).cast("int")
+    dist = _bind(_states(a, b, m, tau), lambda r: F.coalesce(*[F.when(r[f"r{e}"].bitwiseAND(goal) != 0, e) for e in range(tau + 1)], none))
     return F.when(F.abs(n - m) <= tau, dist)
 
 
-def _candidates(lines: DataFrame) -> DataFrame:
+def _shared(a: Column, b: Column) -> Column:
+    """How many characters two strings share at their start, by halving steps."""
+    n = F.least(F.char_length(a), F.char_length(b))
+    part = lambda x, p, i: F.substring(x, p + 1, F.call_function("shiftleft", F.lit(1), i))
+    most = F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")
+    return F.aggregate(
+        F.sequence(most, F.lit(0)), F.lit(0), lambda p, i: F.when(part(a, p, i) == part(b, p, i), F.least(n, p + F.call_function("shiftleft", F.lit(1), i))).otherwise(p)
+    )
+
+
+def verified(a: Column, b: Column, tau: int = TAU) -> Column:
+    """``within`` of two strings, at little cost where they differ by more: what they share at either end is cut
+    off, which leaves the distance as it is, and the automaton runs on only if it is alive after LOOK characters."""
+    rest = lambda x, p: F.substring(x, p + 1, F.char_length(x))
+    # Each cut also turns both strings round.
+    trim = lambda s: _bind(F.struct(s["x"].alias("x"), s["y"].alias("y"), _shared(s["x"], s["y"]).alias("p")), lambda t: F.struct(F.reverse(rest(t["x"], t["p"])).alias("x"), F.reverse(rest(t["y"], t["p"])).alias("y")))
+    alive = lambda s: _states(F.substring(s["x"], 1, LOOK + tau), F.substring(s["y"], 1, LOOK), F.least(F.char_length(s["y"]), F.lit(LOOK)), tau)[f"r{tau}"] != 0
+    return _bind(F.struct(a.alias("x"), b.alias("y")), lambda s: _bind(trim(s), lambda t: _bind(trim(t), lambda u: F.when(alive(u), within(u["x"], u["y"], tau)))))
+
+
+def _candidates(lines: DataFrame, min_chars: int) -> DataFrame:
     """Pairs (a, b) of line hashes, a < b, that meet in a segment and pass the bounds; each once, in the first segment they meet in."""
     n = F.char_length("line")
     line, q0 = F.col("line"), n - n % STEP
-    near = F.when(n % STEP < TAU, _hashes(line, n, q0 - STEP))
-    rows = lines.select("h1", "h2", n.alias("n"), _counts(line).alias("cs"), _hashes(line, n, q0).alias("ks"), near.alias("kn"))
-    # Equal lines give equal rows: the first of each task, then of all, stands for them.
-    rows = rows.groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in ("n", "cs", "ks", "kn")])
+    own = {f"k{i}": c for i, c in enumerate(_keys(line, n, q0))}
+    near = {f"j{i}": F.when(n % STEP < TAU, c) for i, c in enumerate(_keys(line, n, q0 - STEP))}
+    more = {"n": n, "cs": _counts(line), **own, **near}
+    # Equal lines give equal rows: one of each task, then of all, stands for them. Plain numbers keep the aggregation in hash tables.
+    rows = lines.where(n >= min_chars).select("h1", "h2", *[c.alias(k) for k, c in more.items()]).groupBy("h1", "h2").agg(*[F.min(k).alias(k) for k in more])
     # The rows are built above the aggregation, so that each key is hashed once.
-    ks = F.concat(_rows(F.col("ks"), True), F.when(F.col("kn").isNotNull(), _rows(F.col("kn"), False)).otherwise(F.slice(_rows(F.col("ks"), False), 1, 0)))
-    k = rows.select(F.explode(ks).alias("k"), F.col("h1").alias("h"), "n", "cs").where("k.key IS NOT NULL").select("k.key", (F.col("n") * 4 + F.col("k.role")).alias("nr"), "h", "cs", "k.p1", "k.p2")
+    ks = F.array(*_rows([F.col(k) for k in own], True), *_rows([F.col(k) for k in near], False))
+    k = rows.select(F.explode(ks).alias("k"), F.col("h1").alias("h"), "n", "cs").where("k.key IS NOT NULL")
+    k = k.select("k.key", (F.col("n") * 4 + F.col("k.role")).alias("nr"), "h", "cs", "k.p1", "k.p2")
     a, b = k.alias("a"), k.alias("b")
     na, nb = F.shiftright("a.nr", 2), F.shiftright("b.nr", 2)
     meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.h") != F.col("b.h"))
@@ -162,32 +190,36 @@ def _some(df: DataFrame, h: str, wanted: DataFrame) -> DataFrame:
 
 def linked_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """Links between different lines: (a, b, dist, and for each its h2, did, ln of its first occurrence); b starts later or ties."""
-    lines = _lines(df, id_col, text_col, min_chars)
-    pairs = cut(_candidates(lines))
+    lines = _lines(df, id_col, text_col)
+    pairs = cut(_candidates(lines, min_chars))
     wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h")))
     texts = _some(lines.select("did", "ln", "line", "h1", "h2"), "h1", wanted).groupBy("h1", "h2", "line").agg(F.min(F.struct("did", "ln")).alias("at"))
     side = lambda s: texts.select(F.col("h1").alias(s), F.col("h2").alias(f"{s}2"), F.col("line").alias(f"{s}t"), F.col("at").alias(f"{s}at"))
-    j = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("dist", within(F.col("at"), F.col("bt"))).where("dist IS NOT NULL")
-    return j.select("a", "a2", "aat", "b", "b2", "bat", "dist")
+    # Dealt by pair: verification costs more than its rows weigh, and a line of many pairs spreads over the tasks.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = pairs.join(side("a"), "a").join(side("b"), "b").repartition(tasks, "a", "b")
+    # A generator evaluates the distance once; a filter on it would do so again.
+    found = F.explode(F.filter(F.array(verified(F.col("at"), F.col("bt"))), lambda d: d.isNotNull()))
+    return j.select("a", "a2", "aat", "b", "b2", "bat", found.alias("dist"))
 
 
-def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
-    """(did, rk, ln, near, n_links) of every line that goes; near: a linked line, not an equal one, is the reason."""
+def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """(did, rk, ln, equal, near, n_links) of every line that goes or has links; equal: an equal line starts earlier; near: a linked one does."""
     # Of each link, the line that starts later; on a tie neither goes, but both keep the link.
     ends = cut(linked_lines(df, id_col, text_col, min_chars))
     one = ends.select(F.col("a").alias("h1"), F.col("a2").alias("h2"), (F.col("aat") > F.col("bat")).alias("later"))
     two = ends.select(F.col("b").alias("h1"), F.col("b2").alias("h2"), (F.col("bat") > F.col("aat")).alias("later"))
     near = one.unionByName(two).groupBy("h1", "h2").agg(F.bool_or("later").alias("near"), F.count("*").alias("n_links"))
-    occ = _lines(df, id_col, text_col, min_chars, short).select("did", "rk", "ln", "h1", "h2")
+    occ = _lines(df, id_col, text_col).select("did", "rk", "ln", "h1", "h2")
     groups = occ.groupBy("h1", "h2").agg(F.min(F.struct("did", "ln")).alias("at"), F.count("*").alias("n"))
     groups = groups.join(near, ["h1", "h2"], "left").where("n > 1 OR near IS NOT NULL").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return occ.join(groups, ["h1", "h2"]).select("did", "rk", "ln", (F.struct("did", "ln") > F.col("at")).alias("equal"), "near", "n_links").where("equal OR near OR n_links > 0")
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, counts: bool = False, short: bool = False) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, counts: bool = False) -> DataFrame:
     """df with duplicate lines taken out of its text column; with counts also n_lines, n_removed, n_near and n_links."""
     did, rk, gone = fresh(df, "did", "rk", "gone")
-    g = duplicate_lines(df, id_col, text_col, min_chars, short)
+    g = duplicate_lines(df, id_col, text_col, min_chars)
     g = g.groupBy(F.col("did").alias(did), F.col("rk").alias(rk)).agg(
         F.struct(
             F.collect_set(F.when(F.col("equal") | F.col("near"), F.col("ln"))).alias("ln"),

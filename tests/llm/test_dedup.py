@@ -63,21 +63,33 @@ def edits(a, b):
 
 
 def brute_lines(pairs, tau=2, low=30):
-    """Kept text of each (doc_id, text)."""
+    """(doc_id, kept text, n_lines, n_removed, n_near, n_links) of each (doc_id, text); lines under low allow no edits."""
     at = defaultdict(list)
     for d, t in pairs:
         for i, x in enumerate(t.split("\n") if t is not None else []):
-            if len(x) >= low:
+            if x.strip(" \t\n\x0b\x0c\r"):
                 at[x].append(((d is not None, d or 0), i))
     first = {x: min(v) for x, v in at.items()}
-    near = {x for x in first for y in first if x != y and abs(len(x) - len(y)) <= tau and first[y] < first[x] and edits(x, y) <= tau}
+    links = defaultdict(set)
+    for x in first:
+        for y in first:
+            if x != y and min(len(x), len(y)) >= low and abs(len(x) - len(y)) <= tau and edits(x, y) <= tau:
+                links[x].add(y)
+    near = {x for x in first if any(first[y] < first[x] for y in links[x])}
     out = []
     for d, t in pairs:
-        keep = [x for i, x in enumerate(t.split("\n")) if len(x) < low or (first[x] == ((d is not None, d or 0), i) and x not in near)] if t is not None else None
-        out.append((d, None if keep is None else "\n".join(keep)))
+        all_lines = t.split("\n") if t is not None else []
+        equal = [x in first and first[x] < ((d is not None, d or 0), i) for i, x in enumerate(all_lines)]
+        keep = [x for x, e in zip(all_lines, equal) if not e and x not in near]
+        close = sum(x in near and not e for x, e in zip(all_lines, equal))
+        out.append((d, None if t is None else "\n".join(keep), len(all_lines), len(all_lines) - len(keep), close, sum(len(links[x]) for x in all_lines)))
     return Counter(out)
 
 
+def line_rows(df):
+    return Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"], r["n_near"], r["n_links"]) for r in rows(lines.dedup_lines(df, counts=True)))
+
+
 def mutate(rnd, s, n):
     for _ in range(n):
         i, op = rnd.randrange(len(s) + 1), rnd.randrange(3)
@@ -90,30 +102,41 @@ def test_lines_brute(spark):
     base = ["".join(rnd.choices("abcdefghij klmnop", k=rnd.choice([29, 30, 31, 32, 33, 40, 41, 64, 90]))) for _ in range(25)]
     pool = base + [mutate(rnd, rnd.choice(base), rnd.randrange(1, 5)) for _ in range(120)]
     texts = ["\n".join(rnd.choices(pool, k=rnd.randrange(1, 6)) + rnd.choices(["short", ""], k=1)) for _ in range(60)]
-    got = Counter((r["doc_id"], r["text"]) for r in rows(lines.dedup_lines(docs(spark, texts))))
-    assert got == brute_lines(list(enumerate(texts)))
+    want = brute_lines(list(enumerate(texts)))
+    assert line_rows(docs(spark, texts)) == want and sum(x[4] for x in want) > 20
+    assert Counter((r["doc_id"], r["text"]) for r in rows(lines.dedup_lines(docs(spark, texts)))) == Counter(x[:2] for x in want.elements())
 
 
-def test_op3_short_lines(spark, tmp_path):
-    """Equal short lines go but the first, in the query too; blank lines stay."""
+def test_op3_query(spark, tmp_path):
+    """All columns of the query; equal short lines go but the first; blank lines stay."""
     base = "a long line that stays where it is, number one"
-    texts = [f"Home\n\n{base}\nMenu 12\nHome", "Menu 12\n \nhome\n \n", None, "Home\nMenu 13"]
+    texts = [f"Home\n\n{base}\nMenu 12\nHome", "Menu 12\n \nhome\n \n", None, "Home\nMenu 13", "", base.replace("stays", "stayed") + "\n" + base[:-3] + "\n" + base]
     docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
-    want = {0: f"Home\n\n{base}\nMenu 12", 1: " \nhome\n \n", 2: None, 3: "Menu 13"}
-    got = rows(lines.dedup_lines(docs(spark, texts), short=True))
-    assert {r["doc_id"]: r["text"] for r in got} == want
-    digests = rows(queries.op3_line_dedup(spark, str(tmp_path)))
-    assert {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in digests} == {i: ((1, 1, 0, 1)[i], sha(t or "")) for i, t in want.items()}
+    want = brute_lines(list(enumerate(texts)))
+    assert {x[0]: x[1] for x in want} == {0: f"Home\n\n{base}\nMenu 12", 1: " \nhome\n \n", 2: None, 3: "Menu 13", 4: "", 5: base[:-3]}
+    got = rows(queries.op3_line_dedup(spark, str(tmp_path)))
+    names = ("doc_id", "kept_sha256", "n_kept_chars", "n_lines", "n_removed", "n_near", "n_links")
+    assert Counter(tuple(r[n] for n in names) for r in got) == Counter((x[0], sha(x[1] or ""), len(x[1] or ""), *x[2:]) for x in want.elements())
 
 
 def test_lines_odd(spark):
-    df = odd(spark).where("doc_id IS NULL OR doc_id <> 6")
-    got = rows(lines.dedup_lines(df))
+    df = odd(spark)
     assert lines.dedup_lines(df).columns == df.columns
-    assert Counter((r["doc_id"], r["text"]) for r in got) == brute_lines([(r[0], r[1]) for r in ODD if r[0] != 6])
+    assert line_rows(df) == brute_lines([(r[0], r[1]) for r in ODD])
     assert lines.dedup_lines(df.limit(0), counts=True).count() == 0
 
 
+def test_verified_is_within(spark):
+    rnd = random.Random(8)
+    base = ["".join(rnd.choices("ab cde", k=n)) for n in (0, 1, 2, 5, 23, 24, 25, 60, 129)]
+    pairs = [(x, mutate(rnd, x, n)) for x in base for n in (0, 1, 2, 2, 3, 4)] + [(x, y) for x in base for y in base] + [("x" * 70, "x" * 68), ("aé" * 40, "é" + "aé" * 40)]
+    d = spark.createDataFrame(pairs, "a string, b string")
+    got = [(r["a"], r["b"], r["v"], r["w"]) for r in rows(d.select("a", "b", lines.verified(F.col("a"), F.col("b")).alias("v"), lines.within(F.col("a"), F.col("b")).alias("w")))]
+    for a, b, v, w in got:
+        n = edits(a, b)
+        assert v == w == (n if n <= 2 else None), (a, b)
+
+
 @pytest.mark.parametrize("a, b", [("", ""), ("abc", ""), ("kitten", "kittens"), ("kitten", "sitting"), ("abcdef", "bcdefa"), ("🙂é漢", "🙂e漢"), ("xabcdefg", "abcdefgy"), ("ab", "ba")])
 def test_within(spark, a, b):
     d = spark.createDataFrame([(a, b)], "a string, b string").select(lines.within(F.col("a"), F.col("b")).alias("d")).first()["d"]
@@ -305,7 +328,7 @@ def test_pipeline(spark):
     assert Counter((r["doc_id"], r["text"]) for r in rows(first)) == Counter(kept) and first.columns == d.columns and first.schema == d.schema
     short = first.where("length(text) < 3000").limit(60).cache()
     second = cp.drop_repeated_lines(spark, short, SF)
-    assert Counter((r["doc_id"], r["text"]) for r in rows(second)) == brute_lines([(r["doc_id"], r["text"]) for r in rows(short)])
+    assert Counter((r["doc_id"], r["text"]) for r in rows(second)) == Counter(x[:2] for x in brute_lines([(r["doc_id"], r["text"]) for r in rows(short)]).elements())
     assert all(r["n_chars"] == len(r["text"]) for r in rows(second)) and second.columns == d.columns
     third = cp.keep_one_of_near_copies(spark, first, SF)
     assert {r["doc_id"] for r in rows(third)} == {c for *_, c in brute_components(kept)} and third.columns == d.columns

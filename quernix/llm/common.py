@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,15 +35,36 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where it is unset (tests, local runs), one is made and set."""
+    """The shared folder of spark.checkpoint.dir; where it is unset and all runs in one process (tests), one is made and set."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quernix-"))
         root = sc.getCheckpointDir()
     return root
 
 
+#: What ``cut`` wrote and ``discard`` has not deleted, oldest first.
+_WRITTEN: list[str] = []
+
+
+def written() -> int:
+    """How many tables ``cut`` has written so far; a mark for ``discard``."""
+    return len(_WRITTEN)
+
+
+def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Deletes what ``cut`` wrote after a mark, but for the last ``keep`` tables; for callers that know that nothing reads it any more."""
+    jvm = spark.sparkContext._jvm
+    end = max(since, len(_WRITTEN) - keep)
+    gone, _WRITTEN[since:end] = _WRITTEN[since:end], []
+    for path in gone:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by a table written once to the shared checkpoint folder and read back.
 
@@ -49,6 +73,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/quernix-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -67,6 +92,33 @@ def real_id(col: str = "did"):
     return F.when(F.col(col) != NULL_ID, F.col(col))
 
 
+#: Caches of this worker process; one process serves the tasks of all stages in turn.
+_CACHES: list[dict] = []
+
+
+def cache(d: dict) -> dict:
+    """Registers a cache of an operator's workers; ``claim`` of another one empties it."""
+    _CACHES.append(d)
+    return d
+
+
+def claim(mine: dict | None = None) -> None:
+    """At the start of a task: empties the caches that other operators left in this process and returns their memory."""
+    for d in _CACHES:
+        if d is not mine:
+            d.clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that is free inside this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, element by element."""
     x = x ^ (x >> U64(30))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernix.llm.common import NULL_ID, U64, cut, fresh, keyed, mix, real_id, roll
+from quernix.llm.common import NULL_ID, U64, cache, claim, cut, fresh, keyed, mix, real_id, roll, trim
 
 WINDOW, MIN_COVER, MIN_WORDS, BITS = 8, 0.5, 4, 22
 TABLE = 250_000
@@ -48,7 +48,7 @@ _MARK = {k: U64(v) for k, v in {"N": 0x1234567890ABCDE1, "A": 0x2234567890ABCDE3
 
 
 class _Words(dict):
-    """Word to (59-bit hash of its literal form << 5 | flags); bounded, words beyond the bound are worked out each time."""
+    """Word to (59-bit hash of its literal form << 5 | flags); bounded in words and their length, words beyond the bound are worked out each time."""
 
     def __missing__(self, w: str) -> int:
         from xxhash import xxh64_intdigest
@@ -58,12 +58,12 @@ class _Words(dict):
         flags = _ENDS * (w.rstrip("\"'”’)»")[-1:] in (".", "!", "?")) | _CAP * (core[:1].isupper() and low not in _PLAIN) | _UNIT * (low in _UNITS) | _EMPTY * (not core)
         flags |= _NUMBER * bool(core and _NUM.fullmatch(low))
         v = (xxh64_intdigest(low) >> 5) << 5 | flags
-        if len(self) < TABLE:
+        if len(self) < TABLE and len(w) < 64:
             self[w] = v
         return v
 
 
-_WORDS = _Words()
+_WORDS = cache(_Words())
 
 
 def templates(text: str):
@@ -151,11 +151,13 @@ def matches(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_c
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def scan(batches):
+        claim(_WORDS)
         for b in batches:
             rows = []
             for did, rk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 rows += [(did, rk, *x) for x in _rows(text.as_py(), sizes, shared.value)]
             yield _emit(rows)
+        trim()
 
     dw = keyed(docs, id_col, text_col).mapInArrow(scan, _SCHEMA).select("did", "rk", F.col("pos").alias("dpos"), "w", F.col("slots").alias("dslots"))
     template = F.col("form") != 3

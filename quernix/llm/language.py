@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernix.llm.common import claim, trim
+
 BUCKETS, DIMS, PER_LANGUAGE, EPOCHS, SEED = 1 << 13, 16, 500, 12, 7
 REJECT_SHARE, MAX_THRESHOLD = 0.001, 0.5
 BLOCK = 1 << 20
@@ -158,11 +160,13 @@ def drop_rejected(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for b in batches:
             ok = []
             for t in b.column(at):
                 t = t.as_py()
                 ok.append(t is not None and model is not None and has_letter(t) and model.predict(t.encode())[1] >= model.threshold)
             yield b.filter(pa.array(ok, pa.bool_()))
+        trim()
 
     return df.mapInArrow(run, df.schema).toDF(*names)

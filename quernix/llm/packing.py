@@ -29,9 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernix.llm.common import cache, claim, trim
+
 TIERS, GROUP = (1024, 512, 256, 128), 8192
-#: Words kept per worker, and tokens per packing step.
-TABLE, STEP = 200_000, 1 << 21
+#: Bytes of words kept per worker (a speed-up alone: words beyond are worked out each time), and tokens per packing step.
+TABLE, STEP = 24 << 20, 1 << 20
+#: What an entry takes beside its characters and ids.
+_ENTRY = 200
 _SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, `offset` long, sequence_length long, step_group long, ids binary"
 
 
@@ -48,16 +52,25 @@ class Encoder:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.path, self._slow = path, None
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.opens = np.zeros(max(ranks.values()) + 1, bool)
         self.opens[[i for b, i in ranks.items() if b[:1] == b" "]] = True
         self.seen: dict[str, bytes] = {}
+        self.held = 0
+
+    @property
+    def slow(self):
+        """The other build, loaded for the first text that needs it."""
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+            self._slow.encode_special_tokens = True
+        return self._slow
 
     def _all(self, text: str) -> bytes:
         return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
@@ -82,14 +95,15 @@ class Encoder:
         if len(at) != len(new) + 1:
             return self._all(text)
         got = {w: ids[a:b].tobytes() for w, a, b in zip(new, at, at[1:])}
-        if len(seen) < TABLE:
+        if self.held < TABLE:
             seen.update(got)
+            self.held += sum(_ENTRY + len(w) + len(x) for w, x in got.items())
         if "" in rest and "" not in seen:
             got[""] = self._all(" ")
         return self._all(head) + b"".join([got.get(w) or seen[w] for w in rest])
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = cache({})
 
 
 def encoder(path: str) -> Encoder:
@@ -165,6 +179,7 @@ def pack_documents(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        claim(_ENCODERS)
         base = TaskContext.get().partitionId() << 33
         enc, packer, totals = encoder(path), Packer(tiers), {}
         seq, tokens = 0, 0
@@ -196,5 +211,6 @@ def pack_documents(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col
                     size = 0
         packer.pack(True)
         yield out()
+        trim()
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _SCHEMA)

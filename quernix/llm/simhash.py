@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernix.llm.common import NULL_ID, cut, fresh, keyed, real_id, word_bounds
+from quernix.llm.common import NULL_ID, claim, cut, fresh, keyed, real_id, trim, word_bounds
 
 SHINGLE, MAX_BITS, SEGMENTS = 4, 4, ((0, 21), (21, 21), (42, 22))
 
@@ -51,9 +51,11 @@ def fingerprint(data: bytes, n: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim()
     for b in batches:
         out = [fingerprint(x.as_py()) for x in b.column(2)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], ["did", "rk", "fp"])
+    trim()
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

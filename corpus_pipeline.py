@@ -1,7 +1,13 @@
 """The corpus pipeline: language ID, line and near deduplication, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``, and other columns that docs has.
+
+Defined results: a null text, or one without a letter, has no language and goes in the first stage; the later
+stages, given such rows, keep a null text null, treat it as empty, and keep one of the documents without words;
+an empty text packs to the closing id alone; a null id sorts before all others and stays null; rows that
+repeat an id and a text count as one document twice, of which near deduplication keeps one; an empty table
+gives an empty table in every stage.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernix.llm import decontaminate, language, lines, packing, simhash
-from quernix.llm.common import cut, table
+from quernix.llm.common import cut, discard, table, written
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +25,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines equal or near to an earlier line go from the texts; n_chars follows."""
+    """Lines equal or near to an earlier line go from the texts, documents stay; n_chars follows (null for a null text)."""
     d = lines.dedup_lines(docs)
     return d.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
@@ -55,7 +61,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage wrote on the way is deleted once the next table is written."""
+    docs, mark = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        discard(spark, mark, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -340,6 +340,41 @@ def test_pipeline(spark):
     assert [n for n, _ in cp.STAGES] and cp.ORACLE_SQL is None
 
 
+def test_pipeline_odd_input(spark):
+    """Nulls in any column, repeated rows, empty and very long texts, clashing names and an empty table, in every stage."""
+    import corpus_pipeline as cp
+
+    d = odd(spark)
+    for name, stage in cp.STAGES:
+        out = rows(stage(spark, d, SF))
+        if name == "language_id":
+            assert all(r["text"] and any(map(str.isalpha, r["text"])) for r in out)
+        if name == "line_dedup":
+            assert Counter((r["doc_id"], r["text"]) for r in out) == Counter(x[:2] for x in brute_lines([(r[0], r[1]) for r in ODD]).elements())
+        if name == "simhash_dedup":
+            assert {(r["doc_id"], r["text"]) for r in out} == ({(r[0], r[1]) for r in ODD} | {(1, None)}) - {(2, "")} and len(out) == len(ODD) - 2
+        if name == "decontamination":
+            assert len(out) == len(ODD)
+        if name == "packing":
+            assert sum(r["length"] for r in out if r["start"] == 0) and {r["doc_id"] for r in out} == {r[0] for r in ODD}
+        else:
+            assert stage(spark, d, SF).columns == d.columns
+        assert stage(spark, d.limit(0), SF).count() == 0, name
+
+
+def test_pipeline_deletes_what_it_wrote(spark):
+    import os
+
+    import corpus_pipeline as cp
+    from quernix.llm import common
+
+    at = common.checkpoint_root(spark).removeprefix("file:")
+    held = common.cut(spark.range(3))
+    before = set(os.listdir(at))
+    cp.run(spark, SF).count()
+    assert len(set(os.listdir(at)) - before) <= 1 and held.count() == 3  # the last stage still reads its input
+
+
 def test_no_local_checkpoint():
     import pathlib
 

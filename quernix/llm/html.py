@@ -1,19 +1,25 @@
 """HTML main-text extraction from flat text blocks.
 
 A page is read once into flat text blocks (text between block-level tags). Each block has its word count
-and link density, those of its neighbours, and which kinds of containers it stands in. A decision tree, trained on
-the small labelled table of ``html_labels``, decides which blocks are main text.
+and link density, those of its neighbours, its tag, and which kinds of containers it stands in. A decision
+tree, trained on the small labelled table of ``html_labels``, decides which blocks are main text. Many pages of
+that table have no telling names, so that the tree also works by counts; the names of classes and ids are
+read word by word and give way to the structure: names on an article, or around one, say nothing about its text.
+
+A page is read in time linear in its length, however broken it is.
 
 Defined results: a null or empty page gives an empty text; character references are decoded, also
 without a semicolon where HTML allows it; white space inside a block becomes one space; broken markup never fails
-(an unclosed tag or comment ends with the page); repeated rows are read each; an empty table gives
-no rows; other columns are ignored.
+(an unclosed tag or comment ends with the page and is no text); text of math, svg, canvas and object elements is
+text like any other; repeated rows are read each; an empty table gives no rows; other columns are ignored. Page
+ids are whole numbers.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,56 +27,93 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)", re.S)
-_ATTR = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_RAW = frozenset("script style noscript template iframe svg math textarea select object canvas title".split())
+from quernix.llm.common import claim, trim
+
+_NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9:-]*)")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_ATTR = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*+)\s*+(?:=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Elements without readable content, without an end tag, and inside a line of text.
+_RAW = frozenset("iframe noscript script style template title".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr nobr acronym br".split())
+_INLINE = frozenset(
+    "a abbr acronym annotation b bdi bdo big canvas cite code data del desc dfn em font g i ins kbd label mark math mfrac mi mn mo mrow msqrt msub msup mtext nobr object q s samp semantics small span strike strong sub sup svg text time tspan tt u var wbr br".split()
+)
+_CLOSES_ITSELF = frozenset("dd dt li option p td th tr".split())
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in _RAW}
 KINDS = ("nav", "header", "footer", "side", "notice", "ad", "form", "comment", "article")
-_BY_TAG = {"nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "side", "dialog": "notice", "form": "form", "button": "form", "fieldset": "form", "article": "article", "main": "article"}
-_BY_NAME = [
-    (k, re.compile(rf"(?:^|[\s_-])(?:{w})s?(?=$|[\s_-]|\d)", re.I))
-    for k, w in (
-        ("nav", "nav|navbar|navigation|menu|breadcrumb|pagination|pager|toc|tab|skip|skiplink"),
-        ("header", "header|masthead|topbar|site-head|banner"),
-        ("footer", "footer|foot|copyright|colophon"),
-        ("side", "sidebar|aside|side|related|recommended|recommendation|widget|trending|popular|more-stories|read-more|complementary|tag|share|social|sharing"),
-        ("notice", "notice|cookie|consent|gdpr|alert|modal|popup|overlay|paywall|disclaimer|warning|toast"),
-        ("ad", "ad|advert|advertisement|advertising|sponsor|sponsored|promo|promotion|banner-ad|adsense|advertorial"),
-        ("form", "form|search|newsletter|subscribe|signup|login|contentinfo-form"),
-        ("comment", "comment|comment-list|reply|replie|disqus|discussion|respond|feedback|review"),
-        ("article", "article|post|post-body|entry|entry-content|main|story|article-body|content"),
-    )
-]
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "page_article", *KINDS)
-
-
-def _kinds(tag: str, attrs: str) -> tuple[str, ...]:
-    out = [_BY_TAG[tag]] if tag in _BY_TAG else []
-    if "=" in attrs or "hidden" in attrs:
-        for m in _ATTR.finditer(attrs):
-            name, value = m[1].lower(), (m[2] or "").strip("\"'")
-            if name in ("class", "id", "role", "aria-label") and value and tag not in ("body", "html"):
-                found = [k for k, r in _BY_NAME if r.search(value)]
-                out += [k for k in found if k != "article" or len(found) == 1]
-            elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                out.append("notice")
-    return tuple(dict.fromkeys(out))
-
-
-def blocks(page: str) -> list[tuple[str, int, int, str, tuple[str, ...]]]:
+_BY_TAG = {"article": "article", "aside": "side", "button": "form", "dialog": "notice", "fieldset": "form", "footer": "footer", "form": "form", "header": "header", "main": "article", "menu": "nav", "nav": "nav", "option": "form", "select": "form", "textarea": "form"}
+_BY_ROLE = {"alert": "notice", "alertdialog": "notice", "article": "article", "banner": "header", "complementary": "side", "contentinfo": "footer", "dialog": "notice", "form": "form", "main": "article", "menu": "nav", "menubar": "nav", "navigation": "nav", "search": "form"}
+#: Words of class names and ids, in the singular.
+_BY_WORD = {
+    "nav": "breadcrumb menu nav navbar navigation pager pagination skiplink toc",
+    "header": "banner header masthead topbar",
+    "footer": "colophon copyright foot footer",
+    "side": "aside complementary popular recommendation recommended related share sharing sidebar social trending widget",
+    "notice": "alert consent cookie disclaimer gdpr modal notice overlay paywall popup toast",
+    "ad": "ad adsense advert advertisement advertising advertorial promo promotion sponsor sponsored",
+    "form": "form login newsletter search signup subscribe",
+    "comment": "comment disqus replie reply respond",
+    "article": "article content entry main post story",
+}
+_WORDS = {w: k for k, ws in _BY_WORD.items() for w in ws.split()}
+#: Kinds that hold although the same element, or one around or inside it, is an article.
+_STRONG = frozenset(("ad", "comment"))
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "paragraph", "page_article", *KINDS)
+
+
+def _token_kind(token: str) -> str | None:
+    """The kind that one class name or id tells: of its words, the last one that is not an article's."""
+    kinds = [_WORDS.get(w) or _WORDS.get(w.removesuffix("s")) for w in map(str.lower, _WORD.findall(token))]
+    kinds = [k for k in kinds if k]
+    return next((k for k in reversed(kinds) if k != "article"), kinds[0] if kinds else None)
+
+
+def _own(tag: str, attrs: str) -> tuple[set[str], set[str]]:
+    """Kinds that the element's tag or role tells, and those that its names tell."""
+    sure, said = {_BY_TAG[tag]} if tag in _BY_TAG else set(), set()
+    if tag in ("html", "body") or "=" not in attrs and "hidden" not in attrs:
+        return sure, said
+    for m in _ATTR.finditer(attrs):
+        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if name == "role":
+            sure |= {_BY_ROLE[value.lower()]} if value.lower() in _BY_ROLE else set()
+        elif name in ("class", "id"):
+            said |= {k for k in map(_token_kind, value.split()) if k}
+        elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            sure.add("notice")
+    return sure, said
+
+
+def _inside(around: frozenset, tag: str, attrs: str) -> frozenset:
+    """Kinds of the blocks inside an element, from those around it and its own."""
+    sure, said = _own(tag, attrs)
+    if "article" in sure or "article" in said:
+        said = {k for k in said if k in _STRONG or k == "article"}
+        if "article" not in around and "comment" not in around:
+            # The page around an article (a layout named after its sidebar, one form about all) is not its kind.
+            around = frozenset(k for k in around if k in ("side", "ad") and f"<{k}" in around)
+    new = sure | said
+    if "article" in around:
+        new.discard("header")  # a header inside the article is the article's own
+    marks = {f"<{k}" for k in sure}
+    return around | new | marks if new else around
+
+
+def blocks(page: str) -> list[tuple[str, int, int, str, frozenset]]:
     """(text, words, words in links, tag, kinds of its containers) of every text block, in order."""
     out: list = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    #: Open elements: tag, kinds inside it, and the innermost block-level tag.
+    stack: list[tuple[str, frozenset, str]] = []
+    opened: Counter = Counter()
     parts: list[str] = []
     linked: list[str] = []
-    depth, at, n = 0, 0, len(page)
+    none: frozenset = frozenset()
 
     def flush():
         text = " ".join("".join(parts).split())
         if text:
-            tag = next((t for t, _ in reversed(stack) if t not in _INLINE), "")
-            kinds = tuple(dict.fromkeys(k for _, ks in stack for k in ks))
+            _, kinds, tag = stack[-1] if stack else ("", none, "")
             out.append((text, len(text.split()), len(" ".join(linked).split()), tag, kinds))
         parts.clear()
         linked.clear()
@@ -78,54 +121,72 @@ def blocks(page: str) -> list[tuple[str, int, int, str, tuple[str, ...]]]:
     def say(raw: str):
         text = _html.unescape(raw) if "&" in raw else raw
         parts.append(text)
-        if depth:
+        if opened["a"]:
             linked.append(text)
 
+    def pop():
+        opened[stack.pop()[0]] -= 1
+
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
-        m = _TAG.search(page, at)
-        say(page[at : m.start()] if m else page[at:])
-        if not m:
+        lt = page.find("<", at)
+        if lt < 0:
+            say(page[at:])
             break
-        at = m.end()
-        if m[0].startswith("<![CDATA["):
-            say(m[0][9:].removesuffix("]]>"))
+        if lt > at:
+            say(page[at:lt])
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        if page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt + 9)
+            say(page[lt + 9 : end if end >= 0 else n])
+            at = end + 3 if end >= 0 else n
             continue
-        if not m[2]:
+        m = _NAME.match(page, lt + 1)
+        if not m:
+            if page.startswith(("!", "?", "/"), lt + 1):
+                end = page.find(">", lt)
+                at = end + 1 if end >= 0 else n
+            else:
+                say("<")
+                at = lt + 1
             continue
-        tag, closing = m[2].lower(), m[1] == "/"
+        if lt > last:
+            break
+        # Quotes may hide an end mark; one that never closes hides nothing.
+        rest = _REST.match(page, m.end())
+        at = rest.end() if rest else page.find(">", m.end()) + 1
+        attrs = page[m.end() : at - 1]
+        tag, closing = m[1].lower(), page[lt + 1] == "/"
         if tag == "br":
             parts.append(" ")
             continue
-        if tag in _RAW and not closing:
-            if not m[3].endswith("/>"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+        if tag in _RAW:
+            if not closing and not attrs.endswith("/"):
+                end = _ENDS[tag].search(page, at)
                 at = end.end() if end else n
-            if tag != "svg" and tag != "math":
-                flush()
             continue
         block = tag not in _INLINE
         if block:
             flush()
-            if tag not in _VOID and not closing:
-                # Inline containers end with the block around them.
-                while stack and stack[-1][0] in _INLINE:
-                    depth -= stack.pop()[0] == "a"
-                if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] in ("p", tag):
-                    stack.pop()
-        if tag in _VOID or m[3].endswith("/>") and block:
-            continue
+            # Inline containers end with the block around them.
+            while stack and stack[-1][0] in _INLINE:
+                pop()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    for t, _ in stack[i:]:
-                        depth -= t == "a"
-                    del stack[i:]
-                    break
-                if not block and stack[i][0] not in _INLINE:
-                    break  # a stray inline end tag closes nothing outside its block
-        else:
-            stack.append((tag, _kinds(tag, m[3])))
-            depth += tag == "a"
+            if opened[tag]:
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
+            continue
+        if tag in _CLOSES_ITSELF and stack and stack[-1][0] in ("p", tag):
+            pop()
+        if tag in _VOID or attrs.endswith("/") and block:
+            continue
+        _, around, outer = stack[-1] if stack else ("", none, "")
+        stack.append((tag, _inside(around, tag, attrs), tag if block else outer))
+        opened[tag] += 1
     flush()
     return out
 
@@ -140,19 +201,18 @@ def features(bs: list) -> np.ndarray:
     density = np.array([min(1.0, b[2] / max(1, b[1])) for b in bs])
     out[:, 0], out[:, 1] = words, density
     out[1:, 2], out[1:, 3], out[:-1, 4], out[:-1, 5] = words[:-1], density[:-1], words[1:], density[1:]
-    out[:, 8] = any("article" in b[4] for b in bs)
+    out[:, 9] = any("article" in b[4] for b in bs)
     for i, b in enumerate(bs):
-        out[i, 6], out[i, 7] = bool(re.fullmatch(r"h[1-6]", b[3])), b[3] in ("li", "td", "th", "dd", "dt", "option")
+        tag = b[3]
+        out[i, 6], out[i, 7], out[i, 8] = tag in ("h1", "h2", "h3", "h4", "h5", "h6"), tag in ("dd", "dt", "li", "td", "th"), tag in ("blockquote", "figcaption", "p", "pre")
         for k in b[4]:
-            out[i, 9 + KINDS.index(k)] = 1
-        # A header inside the article is the article's own heading.
-        if "header" in b[4] and "article" in b[4] and b[4].index("header") > b[4].index("article"):
-            out[i, 9 + KINDS.index("header")] = 0
+            if k in KINDS:
+                out[i, 10 + KINDS.index(k)] = 1
     return out
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 14) -> tuple | float:
-    """A classification tree by Gini gain: (feature, threshold, left, right) or the share of main text."""
+    """A classification tree by Gini gain: (feature, threshold, left, right) or the share of main text; equal gains go to the first feature."""
     if depth == 0 or len(set(y.tolist())) < 2:
         return float(y.mean())
     best, at = 1e-9, None
@@ -162,11 +222,9 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 14) -> tuple | float:
         for t in (vals[1:] + vals[:-1]) / 2:
             on = x[:, j] <= t
             gain = gini(y) - gini(y[on]) - gini(y[~on])
-            # Equal gains go to container kinds, which hold on other pages, before counts.
-            gain += 1e-6 * j
-            if gain > best:
+            if gain > best + 1e-9:
                 best, at = gain, (j, float(t), on)
-    if at is None or best <= 1e-6 * x.shape[1]:
+    if at is None:
         return float(y.mean())
     j, t, on = at
     return j, t, grow(x[on], y[on], depth - 1), grow(x[~on], y[~on], depth - 1)
@@ -175,17 +233,23 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 14) -> tuple | float:
 _TREE = None
 
 
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of the labelled table."""
+    from quernix.llm.html_labels import pages
+
+    xs, ys = [], []
+    for page in pages():
+        bs = blocks(page)
+        ys += [b[0][0] == "+" for b in bs]
+        # The mark is no word of the block.
+        xs.append(features([(b[0][2:], b[1] - 1, max(0, b[2] - (b[2] == b[1])), *b[3:]) for b in bs]))
+    return np.concatenate(xs), np.array(ys, float)
+
+
 def tree():
     global _TREE
     if _TREE is None:
-        from quernix.llm.html_labels import PAGES
-
-        xs, ys = [], []
-        for page in PAGES:
-            bs = blocks(page)
-            ys += [b[0][0] == "+" for b in bs]
-            xs.append(features([(b[0][2:], b[1] - 1, max(0, b[2] - (b[2] == b[1])), *b[3:]) for b in bs]))
-        _TREE = grow(np.concatenate(xs), np.array(ys, float))
+        _TREE = grow(*labelled())
     return _TREE
 
 
@@ -208,9 +272,11 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     model = tree()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for b in batches:
             texts = [main_text(t.as_py() or "", model) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        trim()
 
     d = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return d.mapInArrow(run, "page_id long, url string, text string, n_chars long")

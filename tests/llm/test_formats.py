@@ -109,6 +109,83 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def article_text(page):
+    """The blocks of the only article element, by an independent reading of pages that are generated in one form."""
+    import html as std
+
+    (body,) = re.findall(r"<article>(.*?)</article>", page, re.S)
+    body = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", body, flags=re.S).replace("<br>", " ")
+    parts = re.split(r"</?(?:p|h1|h2|div|ul|li|blockquote|pre)\b[^>]*>", body)
+    parts = [" ".join(std.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in parts]
+    return "\n".join(b for b in parts if b)
+
+
+def test_op5_query(spark):
+    src = {r["page_id"]: r for r in rows(spark.read.parquet(f"{SF}/pages.parquet"))}
+    got = rows(queries.op5_html_text(spark, SF))
+    assert len(got) == len(src) > 0
+    for r in got:
+        want = article_text(src[r["page_id"]]["html"])
+        assert (r["url"], r["text"], r["n_chars"]) == (src[r["page_id"]]["url"], want, len(want))
+
+
+LONG = "Some running words of the text of a page that go on for a while here."
+HTML_CASES = [
+    ('<article class="post tag-politics"><p>Hello</p></article>', "Hello"),
+    (f'<div class="story related-news"><p>{LONG}</p><p>ok</p></div>', f"{LONG}\nok"),
+    ('<div class="review"><article><p>Hello</p></article></div>', "Hello"),
+    ('<div class="has-sidebar"><form><article><div>one</div><div>two</div>loose</article></form></div>', "one\ntwo\nloose"),
+    ("Energy is <math><mi>E</mi>=mc<sup>2</sup></math> here", "Energy is E=mc2 here"),
+    ("<article><p>a <svg><title>t</title><text>label</text></svg> <object>fallback</object> <canvas>drawn</canvas></p></article>", "a label fallback drawn"),
+    ('hello world this is text <div class="x', "hello world this is text"),
+    ("<article><p>a &lt; b, 3 < 4</p><!-- x --><p>c<!-- unclosed <p>d", "a < b, 3 < 4\nc"),
+    (f"<section class=comments><article class=comment><p>{LONG}</p></article></section><article><p>{LONG}</p></article>", LONG),
+    ('<div class="post"><p>x</p><div class="post-footer">foot</div><div class="post-comments"><p>c</p></div></div>', "x"),
+    # No telling name at all: counts and links decide.
+    (f"<div>Site</div><ul><li><a href=1>Home</a></li><li><a href=2>World news today</a></li></ul><h1>Big title</h1><p>By Ann</p><p>{LONG}</p><h3>Sub</h3><p>{LONG} <a href=3>more</a></p><div><a href=4>Older posts</a> <a href=5>Newer posts</a></div><div>Imprint of us</div>", f"Big title\nBy Ann\n{LONG}\nSub\n{LONG} more"),
+]
+
+
+@pytest.mark.parametrize("page, want", HTML_CASES)
+def test_html_cases(page, want):
+    assert html.main_text(page) == want
+
+
+def test_html_tree_works_by_counts():
+    """The tree splits by word counts and link density, of a block and of its neighbours; without names it still fits the table."""
+    used = set()
+
+    def walk(t):
+        if isinstance(t, tuple):
+            used.add(html.FEATURES[t[0]])
+            walk(t[2])
+            walk(t[3])
+
+    walk(html.tree())
+    assert {"words", "links", "words_before", "words_after", "links_after"} <= used
+    x, y = html.labelled()
+    right = sum((_leaf(html.tree(), r) >= 0.5) == bool(v) for r, v in zip(x.tolist(), y))
+    assert right / len(y) > 0.99
+
+
+def _leaf(t, r):
+    while isinstance(t, tuple):
+        t = t[2] if r[t[0]] <= t[1] else t[3]
+    return t
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "<div><p>x</p>", "</b>", "<i>", '<a "', "<a '\">", "<!", "&amp;", "<script>", "<b></i>", "<p><b>", "<![CDATA["])
+def test_html_time_is_linear(piece):
+    import time
+
+    times = []
+    for n in (20_000, 80_000):
+        t = time.process_time()
+        html.main_text(piece * n)
+        times.append(time.process_time() - t)
+    assert times[1] < max(0.5, 10 * times[0])
+
+
 def packed(rs, want):
     by, seqs = defaultdict(list), defaultdict(list)
     for r in rs:
@@ -208,6 +285,42 @@ def test_secrets_of_small_alphabets_and_keys():
     assert spans(f"a key page {slug} here") == []
 
 
+def test_novelty_separates_names_from_secrets():
+    import random
+    import string
+
+    spans = lambda t: [t[a:b] for a, _, b in secrets.novel_spans(t, secrets.base_spans(t))]
+    names = "calculateMonthlyRevenue2Report user-profile-settings-page-v2 https_proxy_server_number_1 getElementById_addEventListener2 MAX_RETRY_COUNT_PER_HOST_3 docker-compose-production-v3 com_example_service_UserController internationalization 2024-11-26 1234567890123".split()
+    for name in names:
+        assert spans(f"the secret key of {name} and other things") == []
+    rnd = random.Random(6)
+    caught = total = 0
+    for n in (16, 20, 24, 32, 48, 64, 200, 1000):
+        for alphabet in (string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/"):
+            for where in ("the session key is {} for now", 'headers = {{"Authorization": "Bearer {}"}}', "{} is my login, said he"):
+                s = "".join(rnd.choices(alphabet, k=n))
+                total += 1
+                caught += spans(where.format(s)) == [s]
+                assert spans(f"a page about {s} and nothing else") == []  # no sensitive word near
+    assert caught / total > 0.95
+    lab = secrets.labelled()
+    measure, least = secrets.Novelty(secrets.dictionary()), secrets.least_novelty()
+    assert sum((measure(s, "key = ", " #") >= least) == y for s, y in lab) / len(lab) > 0.9
+
+
+def test_novel_spans_take_linear_time():
+    import time
+
+    piece = "token=abcdef123 x9QkLm2Zp0Wv7Rt key\n"
+    times = []
+    for n in (500, 4000):
+        text = piece * n
+        t = time.process_time()
+        secrets.novel_spans(text, secrets.base_spans(text))
+        times.append(time.process_time() - t)
+    assert times[1] < 20 * times[0] + 0.5
+
+
 def brute_quality(text):
     words = WORDS.findall(text)
     lines, seen, dup = text.split("\n"), set(), 0

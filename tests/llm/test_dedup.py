@@ -288,6 +288,64 @@ def test_decontamination_openers(spark):
     assert not got[(0, 0)][0] and not got[(3, 0)][0] and got[(1, 1)][0] and got[(2, 1)][0] and got[(4, 2)][0]
 
 
+def test_decontamination_slots_are_one_to_one(spark):
+    """One value stands for one value in both directions; a number in words is a number; verbatim is the whole item."""
+    item = "Tom gave 12 of his red apples to Mary and then Tom ate 5 apples while Mary sold the other apples in town."
+    items = [item, "a plain sentence about the long river that runs past the old mill and into the sea"]
+    texts = [
+        "So, " + item.replace("Tom", "Ann").replace("Mary", "Ann"),
+        "So, " + item.replace("Tom", "Bob").replace("Mary", "Sue"),
+        "So, " + item.replace("12", "thirty-five"),
+        "So, " + item.replace("Tom", "Bob", 1),
+        "So, " + item.upper(),
+        items[1] + " again",
+        items[1].replace("old mill", "new mill"),
+        # The same template under another text's number: a unit needs a number of its own text.
+        "12",
+        "apples to Mary and then",
+    ]
+    got = found(spark, texts, items)
+    # The fourth keeps more than half of the item as it is; the seventh less.
+    assert {k: v[0] for k, v in got.items()} == {(1, 0): False, (2, 0): False, (3, 0): False, (4, 0): True, (5, 1): True}
+
+
+def brute_tokens(text):
+    """Kind and literal word of each token; kinds: w, N, U, A (a name), O (a capital that opens a sentence or line)."""
+    strip = lambda w: w.strip(decontaminate._EDGE)
+    out = []
+    for line in text.splitlines():
+        opens, fresh_number = True, False
+        for w in line.split():
+            core = strip(w)
+            low = core.lower()
+            if core:
+                number = decontaminate.is_number(low)
+                if number:
+                    kind = "N"
+                elif low in decontaminate._UNITS and out and out[-1][0] == "N":
+                    kind = "U"
+                elif core[0].isupper() and low not in decontaminate._PLAIN:
+                    kind = "O" if opens else "A"
+                else:
+                    kind = "w"
+                out.append((kind, low))
+            opens = w.rstrip(decontaminate._CLOSERS)[-1:] in (".", "!", "?") and w.rstrip(decontaminate._CLOSERS) != ""
+    return out
+
+
+def test_templates_against_brute(spark):
+    """Template and literal form of every text of a step, read together and alone."""
+    texts = [r["text"] or "" for r in rows(spark.read.parquet(f"{SF}/documents.parquet"))] + [i[1] or "" for i in ITEMS] + ["", "12 km\nkm 5. (5) \"Ann.\" said Bob\n\n... Tom's thirty-five £3 apples", "7", "km"]
+    t = decontaminate.Templates(texts)
+    by = defaultdict(list)
+    for i, d in enumerate(t.doc.tolist()):
+        kind, named = chr(t.kinds[i] or 119), chr(t.named[i] or 119)
+        by[d].append(("O" if named != kind else kind, t.words[t.at[i]].strip(decontaminate._EDGE).lower(), int(t.pos[i])))
+    for d, text in enumerate(texts):
+        want = brute_tokens(text)
+        assert [(k, w) for k, w, _ in by[d]] == want and [p for *_, p in by[d]] == list(range(len(want))), text[:80]
+
+
 def test_decontamination_finds_the_planted(spark):
     """Against a brute-force search for runs of eight words that a document shares with an item."""
     norm = lambda t: [w.strip(".,!?;:\"'()").lower() for w in (t or "").split()]

@@ -299,29 +299,49 @@ def _rounded(x: Typed, scale: int, mode: str) -> Typed:
     return Typed(round_mode(c, scale, mode).cast(t), t, x.unit)
 
 
+#: Decimal digits of one step of a long division, at most and at least.
+_DIGITS = (30, 6)
+
+
 def _quotient(a: Typed, b: Typed, scale: int, mode: str) -> Typed:
-    """One correct rounding of an exact quotient: whole quotient and remainder of scaled integers."""
-    if not 0 <= scale <= 30:
-        raise OverflowRefused(f"a quotient of scale {scale}")
-    t = decimal_type(38, scale)
-    widths = [precision(x.type) if is_decimal(x.type) else (19, 0) for x in (a, b)]
+    """One correct rounding of an exact quotient: a long division of scaled integers, some digits at a time."""
+    if not 0 <= scale <= 38:
+        raise OverflowRefused(f"a quotient of scale {scale}; decimals have 38 digits")
+    if mode not in MODES:
+        raise TypeMismatch(f"no rounding mode {mode}")
+    t, whole = decimal_type(38, scale), "decimal(38,0)"
+    lit = lambda v: F.lit(Decimal(v)).cast(whole)
+    widths = [precision(x.type) if is_decimal(x.type) else ((10, 0) if x.type == "int" else (19, 0)) for x in (a, b)]
     up = max(w[1] for w in widths)
-    shift = 10**scale
-    big = [x.col.cast(f"decimal(38,{w[1]})") * F.lit(10**up).cast("decimal(38,0)") for x, w in zip((a, b), widths)]
-    n = (big[0].cast("decimal(38,0)") * F.lit(shift).cast("decimal(38,0)")).cast("decimal(38,0)")
-    d = F.nullif(big[1].cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
-    r = F.try_mod(n, d)
-    q = ((n - r) / d).cast("decimal(38,0)")
-    sign = F.when((n < 0) != (d < 0), -1).otherwise(1)
-    twice, whole = F.abs(r) * 2, F.abs(d)
-    odd = F.abs(q % 2) == 1
-    over = {
-        "up": r != 0, "down": F.lit(False), "ceiling": (r != 0) & (sign > 0), "floor": (r != 0) & (sign < 0),
-        "halfUp": twice >= whole, "halfDown": twice > whole, "halfEven": (twice > whole) | ((twice == whole) & odd),
-    }[mode]
-    out = (q + F.when(over, sign).otherwise(0).cast("decimal(38,0)")).cast("decimal(38,0)")
+    n, d = ((x.col.cast(f"decimal(38,{w[1]})") * lit(10**up)).cast(whole) for x, w in zip((a, b), widths))
+    d = F.nullif(d, lit(0))
+    negative, size = (n < 0) != (d < 0), F.abs(d)
+    # A remainder times so many powers of ten stays within 38 digits.
+    step = max(_DIGITS[1], min(_DIGITS[0], 37 - (widths[1][0] - widths[1][1] + up)))
+    powers = [lit(10 ** min(step, scale - i)) for i in range(0, scale, step)]
+    both = lambda n, q: F.struct((q + ((n - n % size) / size).cast(whole)).cast(whole).alias("q"), (n % size).cast(whole).alias("r"))
+
+    def finish(x):
+        q, r = x["q"], x["r"]
+        rest, twice = r != 0, (r * 2).cast(whole)
+        over = {
+            "up": rest, "down": F.lit(False), "ceiling": rest & ~negative, "floor": rest & negative, "halfUp": twice >= size,
+            "halfDown": twice > size, "halfEven": (twice > size) | ((twice == size) & (q % 2 == 1)),
+        }[mode]
+        q = (q + F.when(over, lit(1)).otherwise(lit(0))).cast(whole)
+        # The point is set by an exponent: a division would round at Spark's own scale.
+        return F.concat(F.when(negative & (q != 0), "-").otherwise(""), q.cast("string"), F.lit(f"E-{scale}")).cast(t)
+
+    first = both(F.abs(n), lit(0))
+    more = lambda acc, p: both((acc["r"] * p).cast(whole), (acc["q"] * p).cast(whole))
+    out = F.aggregate(F.array(*powers), first, more, finish) if powers else F.transform(F.array(first), finish)[0]
     unit = units.combine(a.unit, b.unit, -1)
-    return Typed((out / F.lit(shift).cast("decimal(38,0)")).cast(t), t, unit)
+    return Typed(F.when(n.isNotNull() & d.isNotNull(), out), t, unit)
+
+
+def _whole(name: str, c: Column) -> Column:
+    """floor or ceil of a double; from 2^53 on, and for NaN and infinities, the value itself."""
+    return F.when(F.abs(c) < float(2**53), getattr(F, name)(c).cast("double")).otherwise(c)
 
 
 def _apply(name: str, xs: list[Typed], raw: tuple[E.Expr, ...]) -> Typed:
@@ -343,7 +363,8 @@ def _apply(name: str, xs: list[Typed], raw: tuple[E.Expr, ...]) -> Typed:
         num(x)
         if is_decimal(x.type):
             return _rounded(x, 0, {"round": "halfUp", "floor": "floor", "ceil": "ceiling"}[name])
-        return Typed(getattr(F, name)(x.col.cast("double")).cast("double"), "float", x.unit)
+        c = x.col.cast("double")
+        return Typed(F.round(c) if name == "round" else _whole(name, c), "float", x.unit)
     if name in ("sqrt", "exp", "ln", "log10"):
         num(x)
         if is_decimal(x.type):
@@ -367,7 +388,7 @@ def _apply(name: str, xs: list[Typed], raw: tuple[E.Expr, ...]) -> Typed:
         if is_decimal(a.type) or is_decimal(b.type):
             raise TypeMismatch("pow of a decimal")
         u, v = a.col.cast("double"), b.col.cast("double")
-        bad = ((u == 0) & (v < 0)) | ((u < 0) & (v != F.floor(v)) & ~F.isnan(v))
+        bad = ((u == 0) & (v < 0)) | ((u < 0) & (v != _whole("floor", v)) & ~F.isnan(v))
         nan = F.isnan(u) | F.isnan(v)
         p = F.when(nan, F.lit(math.nan)).when(~bad, F.pow(u, v))
         if a.type == "int" and b.type == "int" and isinstance(raw[1], E.Lit) and raw[1].value >= 0:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +98,7 @@ pipeline("fn_substr_indexof", "part", (S.Derive("s", fn("substr", col("p_name"),
 pipeline("fn_concat", "nation", (S.Derive("s", fn("concat", col("n_name"), ":", col("n_regionkey"), "/", lit(1.5))), project("n_nationkey", "s")), "SELECT n_nationkey, n_name || ':' || n_regionkey || '/1.5' AS s FROM nation")
 pipeline("fn_replace_trim", "part", (S.Derive("r", fn("replace", col("p_name"), "a", "__")), S.Derive("t", fn("trim", fn("concat", " \t", col("p_brand"), "\r\n "))), project("p_partkey", "r", "t")), "SELECT p_partkey, replace(p_name, 'a', '__') AS r, p_brand AS t FROM part")
 pipeline("fn_round_floor_ceil", "customer", (S.Derive("r", fn("round", col("c_acctbal"))), S.Derive("f", fn("floor", col("c_acctbal"))), S.Derive("c", fn("ceil", col("c_acctbal"))), S.Derive("a", fn("abs", col("c_acctbal"))), S.Derive("q", fn("sqrt", col("c_acctbal"))), project("c_custkey", "r", "f", "c", "a", "q"), rounded("q")), f"SELECT c_custkey, round(c_acctbal) AS r, floor(c_acctbal) AS f, ceil(c_acctbal) AS c, abs(c_acctbal) AS a, CASE WHEN c_acctbal >= 0 THEN {r4('sqrt(CASE WHEN c_acctbal >= 0 THEN c_acctbal END)')} END AS q FROM customer")
+pipeline("fn_floor_ceil_large", "customer", (S.Derive("x", col("c_acctbal") * case((col("c_nationkey") < 5, 1e300), (col("c_nationkey") < 10, 1e15), (col("c_nationkey") < 15, 1e-3), otherwise=1.0)), S.Derive("f", fn("floor", col("x"))), S.Derive("c", fn("ceil", col("x"))), project("c_custkey", "f", "c")), "SELECT c_custkey, floor(x) + 0.0 AS f, ceil(x) + 0.0 AS c FROM (SELECT c_custkey, c_acctbal * CASE WHEN c_nationkey < 5 THEN 1e300 WHEN c_nationkey < 10 THEN 1e15 WHEN c_nationkey < 15 THEN 1e-3 ELSE 1.0 END AS x FROM customer)")
 pipeline("fn_pow_exp_ln", "part", (S.Derive("p", fn("pow", col("p_size"), 2)), S.Derive("h", fn("pow", col("p_retailprice"), 0.5)), S.Derive("e", fn("exp", col("p_size") / 50.0)), S.Derive("l", fn("ln", col("p_retailprice"))), S.Derive("g", fn("log10", col("p_size") - 1)), project("p_partkey", "p", "h", "e", "l", "g"), *map(rounded, "helg")), f"SELECT p_partkey, p_size * p_size AS p, {r4('sqrt(p_retailprice)')} AS h, {r4('exp(p_size / 50.0::DOUBLE)')} AS e, {r4('ln(p_retailprice)')} AS l, CASE WHEN p_size > 1 THEN {r4('log10(CASE WHEN p_size > 1 THEN p_size - 1 END)')} END AS g FROM part")
 pipeline("fn_least_greatest_null", "documents", (S.Derive("lo", fn("least", col("lang"), col("source"))), S.Derive("hi", fn("greatest", col("lang"), col("source"))), project("doc_id", "lo", "hi")), "SELECT doc_id, CASE WHEN lang IS NOT NULL AND source IS NOT NULL THEN least(lang, source) END AS lo, CASE WHEN lang IS NOT NULL AND source IS NOT NULL THEN greatest(lang, source) END AS hi FROM documents")
 pipeline("fn_datepart", "orders", tuple(S.Derive(p, fn("datePart", p, col("o_orderdate"))) for p in ("year", "month", "day")) + (S.GroupBy(("year", "month", "day"), (agg("n", "count", "o_orderkey"),)),), "SELECT CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month, CAST(day(o_orderdate) AS INT) AS day, CAST(count(*) AS INT) AS n FROM orders GROUP BY 1, 2, 3")
@@ -171,6 +173,33 @@ pipeline("decimal_sum_exact", "lineitem", (_MONEY, S.GroupBy(("l_returnflag",),
 pipeline("decimal_round_modes", "lineitem", (_MONEY, S.Derive("up", Rounded(col("m"), 1, "halfUp")), S.Derive("even", Rounded(col("m"), 1, "halfEven")), S.Derive("low", Rounded(col("m"), 0, "floor")), S.Derive("high", Rounded(col("m"), 0, "ceiling")), project("l_orderkey", "l_linenumber", "up", "even", "low", "high")), "SELECT l_orderkey, l_linenumber, CAST(round(m, 1) AS DECIMAL(12,1)) AS up, CAST(CASE WHEN (CAST(m * 100 AS BIGINT) % 10) = 5 AND (CAST(trunc(m * 10) AS BIGINT) % 2) = 0 THEN trunc(m * 10) / 10 ELSE round(m, 1) END AS DECIMAL(12,1)) AS even, CAST(floor(m) AS DECIMAL(11,0)) AS low, CAST(ceil(m) AS DECIMAL(11,0)) AS high FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(12,2)) AS m FROM lineitem)")
 pipeline("decimal_quotient", "lineitem", (_MONEY, S.Derive("each", Quotient(col("m"), col("l_linenumber"), 2, "down")), project("l_orderkey", "l_linenumber", "each")), "SELECT l_orderkey, l_linenumber, CAST(CAST((CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * 100 AS BIGINT) // l_linenumber) AS DECIMAL(36,0)) * 0.01 AS DECIMAL(38,2)) AS each FROM lineitem")
 
+_MODES = ("halfEven", "halfUp", "halfDown", "up", "down", "ceiling", "floor")
+
+
+def _quotient_sql(scale: int, mode: str) -> str:
+    """(cents / 100) / n at a scale, by whole numbers of up to 38 digits; cents may be negative, n not."""
+    n, d = f"(CAST(c AS HUGEINT) * {10**scale})", "(100 * CAST(l_linenumber AS HUGEINT))"
+    q, r = f"(abs({n}) // {d})", f"(abs({n}) % {d})"
+    over = {
+        "up": f"{r} <> 0", "down": "false", "ceiling": f"{r} <> 0 AND c > 0", "floor": f"{r} <> 0 AND c < 0", "halfUp": f"2 * {r} >= {d}",
+        "halfDown": f"2 * {r} > {d}", "halfEven": f"2 * {r} > {d} OR (2 * {r} = {d} AND {q} % 2 = 1)",
+    }[mode]
+    whole, shift = f"({q} + CASE WHEN {over} THEN 1 ELSE 0 END)", f"CAST({10**scale} AS HUGEINT)"
+    part = f"rtrim(lpad(CAST({whole} % {shift} AS VARCHAR), {scale}, '0'), '0')"
+    return f"CASE WHEN c < 0 AND {whole} <> 0 THEN '-' ELSE '' END || CAST({whole} // {shift} AS VARCHAR) || CASE WHEN {part} = '' THEN '' ELSE '.' || {part} END"
+
+
+_SCALES = {f"q{s}": s for s in (8, 12, 20)} | {f"m{i}": 10 for i in range(len(_MODES))}
+_CENTS = (_MONEY, S.Derive("m", case((col("l_linenumber").eq(2), lit(Decimal(0)) - col("m")), otherwise=col("m"))))
+pipeline(
+    "decimal_quotient_scales",
+    "lineitem",
+    (*_CENTS, *[S.Derive(n, Quotient(col("m"), col("l_linenumber"), s, "halfEven" if n[0] == "q" else _MODES[int(n[1:])])) for n, s in _SCALES.items()], *[S.Derive(n, fn("concat", col(n))) for n in _SCALES], project("l_orderkey", "l_linenumber", *_SCALES)),
+    "SELECT l_orderkey, l_linenumber, "
+    + ", ".join(f"{_quotient_sql(s, 'halfEven' if n[0] == 'q' else _MODES[int(n[1:])])} AS {n}" for n, s in _SCALES.items())
+    + " FROM (SELECT *, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * 100 AS BIGINT) * CASE WHEN l_linenumber = 2 THEN -1 ELSE 1 END AS c FROM lineitem)",
+)
+
 # Functions and curves
 
 _TAXED = S.Define(FnDef("taxed", (("x", None), ("rate", lit(0.1))), E.Arg("x") * (lit(1.0) + E.Arg("rate"))))
@@ -178,7 +207,18 @@ pipeline("define_macro", "orders", (_TAXED, S.Derive("a", Call("taxed", (("x", c
 _KNOTS = ((0.0, 0.0), (10.0, 5.0), (30.0, 6.0))
 pipeline("interp_linear", "lineitem", (S.Derive("y", Interpolate(col("l_quantity"), _KNOTS)), project("l_orderkey", "l_linenumber", "y"), rounded("y")), f"SELECT l_orderkey, l_linenumber, {r4('CASE WHEN l_quantity < 10 THEN 5.0::DOUBLE * (l_quantity / 10.0::DOUBLE) WHEN l_quantity < 30 THEN 5.0::DOUBLE + 1.0::DOUBLE * ((l_quantity - 10) / 20.0::DOUBLE) ELSE 6.0::DOUBLE END')} AS y FROM lineitem")
 pipeline("interp_step", "lineitem", (S.Derive("y", Interpolate(col("l_quantity"), _KNOTS, "step", "null")), project("l_orderkey", "l_linenumber", "y")), "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN 0.0::DOUBLE WHEN l_quantity < 30 THEN 5.0::DOUBLE WHEN l_quantity = 30 THEN 6.0::DOUBLE END AS y FROM lineitem")
-pipeline("interp_cubic", "lineitem", (S.Derive("y", Interpolate(col("l_quantity"), _KNOTS, "monotoneCubic")), project("l_orderkey", "l_linenumber", "y")))
+# Slopes at the knots by Fritsch and Carlson: secants 0.5 and 0.05; ends 0.5 and 0.05, between them the mean 0.275, drawn in where a^2 + b^2 > 9.
+_BOTH = 3 / (((0.275 / 0.05) ** 2 + 1) ** 0.5)
+_SLOPES = (0.5, _BOTH * 0.275, _BOTH * 0.05)
+
+
+def _hermite(x0: float, x1: float, y0: float, y1: float, m0: float, m1: float) -> str:
+    t, h = f"((l_quantity - {x0}::DOUBLE) / {x1 - x0}::DOUBLE)", x1 - x0
+    return f"({y0}::DOUBLE * (2 * {t} ** 3 - 3 * {t} ** 2 + 1) + {h * m0!r}::DOUBLE * ({t} ** 3 - 2 * {t} ** 2 + {t}) + {y1}::DOUBLE * (3 * {t} ** 2 - 2 * {t} ** 3) + {h * m1!r}::DOUBLE * ({t} ** 3 - {t} ** 2))"
+
+
+_CUBIC = f"CASE WHEN l_quantity < 10 THEN {_hermite(0, 10, 0, 5, _SLOPES[0], _SLOPES[1])} WHEN l_quantity < 30 THEN {_hermite(10, 30, 5, 6, _SLOPES[1], _SLOPES[2])} ELSE 6.0::DOUBLE END"
+pipeline("interp_cubic", "lineitem", (S.Derive("y", Interpolate(col("l_quantity"), _KNOTS, "monotoneCubic")), project("l_orderkey", "l_linenumber", "y"), rounded("y")), f"SELECT l_orderkey, l_linenumber, {r4(_CUBIC)} AS y FROM lineitem")
 
 # Modelling
 
@@ -188,6 +228,20 @@ pipeline("fit_ols_summary", "lineitem", (S.Fit("l_extendedprice", (("q", col("l_
 pipeline("predict_training", "lineitem", (S.Predict(_OLS, S.Ref("lineitem")), S.Derive("e", col("l_extendedprice") - col("predicted")), S.GroupBy(("l_returnflag",), (agg("mean_predicted", "mean", "predicted"),)), rounded("mean_predicted", 2)), "SELECT l_returnflag, round(avg(l_extendedprice) * 100.0) / 100.0 AS mean_predicted FROM lineitem GROUP BY 1")
 pipeline("fit_residuals", "lineitem", (S.Fit("l_extendedprice", (("q", col("l_quantity")),), output="residuals"), S.GroupBy((), (agg("total", "sum", "residual"),)), S.Derive("total", fn("round", col("total")) + 0.0)), "SELECT CAST(0 AS DOUBLE) AS total")
 pipeline("fit_logit", "lineitem", (S.Derive("late", case((col("l_linestatus").eq("F"), 1), otherwise=0)), S.Fit("late", (("q", col("l_quantity")), ("tax", col("l_tax"))), family="binomial")))
+
+
+def _score(name: str, family: str, y: str, ps: tuple[str, ...], before: tuple = ()) -> None:
+    """A canonical model's score equations: its means and the responses have the same totals, plain and times each predictor."""
+    fit = S.Fit(y, tuple((p, col(p)) for p in ps), family=family, output="fitted")
+    names = {"total": "fitted", **{f"total_{p}": f"t_{p}" for p in ps}}
+    sums = S.GroupBy((), tuple(agg(n, "sum", c) for n, c in names.items()))
+    steps = (*before, fit, *[S.Derive(f"t_{p}", col("fitted") * col(p)) for p in ps], sums, *[rounded(n, 2) for n in names])
+    of = "CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END" if before else y
+    pipeline(name, "lineitem", steps, "SELECT " + ", ".join(f"round(sum({of} * {p}) * 100.0) / 100.0 AS {n}" for n, p in zip(names, ("1.0", *ps))) + " FROM lineitem")
+
+
+_score("fit_logit_score", "binomial", "late", ("l_quantity", "l_tax"), (S.Derive("late", case((col("l_linestatus").eq("F"), 1), otherwise=0)),))
+_score("fit_poisson_score", "poisson", "l_linenumber", ("l_discount",))
 pipeline("fit_poisson_robust", "lineitem", (S.Fit("l_linenumber", (("d", col("l_discount")),), family="poisson", std_errors="hc3"),))
 pipeline("kmeans_centres", "customer", (S.KMeans((("bal", col("c_acctbal")),), 3, 7, output="centres"),))
 pipeline("kmeans_summary", "customer", (S.KMeans((("bal", col("c_acctbal")),), 3, 7, group_by=("c_mktsegment",), standardise=True, output="summary"),))

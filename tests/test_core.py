@@ -124,6 +124,47 @@ def test_expressions(spark):
     assert 1.0 < one(spark, E.Interpolate(lit(1.5), k, "monotoneCubic")) < 1.5 and math.isnan(one(spark, E.Interpolate(lit(math.nan), k)))
 
 
+@pytest.mark.parametrize("mode", ("halfEven", "halfUp", "halfDown", "up", "down", "ceiling", "floor"))
+def test_quotients_are_exact_at_every_scale(spark, mode):
+    """Against exact fractions, on terminating and other quotients of either sign."""
+    import random
+    from fractions import Fraction
+
+    rnd = random.Random(mode)
+    rows = tuple((Decimal(rnd.randrange(-(10**8), 10**8)) / 100, Decimal(rnd.choice(("2", "-4", "0.5", "8", "1.25", "3", "7", "-0.3", "0", str(rnd.randrange(1, 10**5)))))) for _ in range(60))
+    scales = (0, 1, 2, 6, 7, 8, 10, 13, 20, 27)
+    t = S.Embedded((("a", "decimal(12,2)"), ("b", "decimal(10,4)")), rows)
+    out = run(spark, tuple(S.Derive(f"q{s}", E.Quotient(col("a"), col("b"), s, mode)) for s in scales), t).collect()
+
+    def want(a, b, scale):
+        if b == 0:
+            return None
+        x = Fraction(a) / Fraction(b) * 10**scale
+        n, d = abs(x.numerator), x.denominator
+        w, r = divmod(n, d)
+        more = {"up": r > 0, "down": False, "ceiling": r > 0 and x > 0, "floor": r > 0 and x < 0, "halfUp": 2 * r >= d, "halfDown": 2 * r > d, "halfEven": 2 * r > d or 2 * r == d and w % 2 == 1}[mode]
+        return Decimal((int(x < 0), tuple(map(int, str(w + more))), -scale))
+
+    for r in out:
+        for s in scales:
+            assert r[f"q{s}"] == want(r["a"], r["b"], s), (r["a"], r["b"], s)
+
+
+def test_quotient_limits(spark):
+    q = lambda a, b, s: one(spark, E.Quotient(lit(Decimal(a)), lit(Decimal(b)), s))
+    assert q("1", "3", 37) == Decimal("0." + "3" * 37) and q("-1", "8", 30) == Decimal("-0.125") and q("1", "3", 0) == 0
+    assert q("12345678901234567890", "7", 10) == Decimal("1763668414462081127.1428571429")
+    with pytest.raises(X.OverflowRefused):
+        q("1", "3", 39)
+
+
+def test_floor_and_ceil_of_any_float(spark):
+    for v in (1e300, -1e300, math.inf, -math.inf, 2.0**53 + 2, -(2.0**63), 2.0**63):
+        assert one(spark, fn("floor", v)) == v and one(spark, fn("ceil", v)) == v
+    assert math.isnan(one(spark, fn("floor", math.nan))) and math.isnan(one(spark, fn("ceil", math.nan)))
+    assert one(spark, fn("floor", -0.5)) == -1.0 and one(spark, fn("ceil", 0.5)) == 1.0 and one(spark, fn("pow", -2.0, 1e300)) == math.inf
+
+
 @pytest.mark.parametrize("e, err", [
     (col("nope"), X.UnknownColumn), (col("x") + "a", X.TypeMismatch), (lit("5").eq(5), X.TypeMismatch), (lit(1.5) + lit(Decimal(1)), X.TypeMismatch),
     (param("p"), X.UnboundParam), (E.Now("date"), X.UnpinnedClock), (fn("nope", 1), X.FunctionError), (fn("abs", 1, 2), X.ArityError),

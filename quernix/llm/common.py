@@ -92,6 +92,17 @@ def real_id(col: str = "did"):
     return F.when(F.col(col) != NULL_ID, F.col(col))
 
 
+def among(df: DataFrame, h: str, wanted: DataFrame, bits: int = 22) -> DataFrame:
+    """Rows whose 64-bit hash in column h may be among those in column h of wanted, by a bitmap of at most 2^(bits - 6) words (broadcast)."""
+    slot, word, bit = fresh(df, "slot", "word", "bit")
+    place = lambda c: F.shiftrightunsigned(c, 64 - bits)
+    p = place(F.col("h"))
+    bitmap = wanted.select(F.shiftright(p, 6).alias(word), p.bitwiseAND(63).cast("int").alias("b")).groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias(bit))
+    d = df.withColumn(slot, place(F.col(h)))
+    j = d.join(F.broadcast(bitmap), F.shiftright(F.col(slot), 6) == F.col(word))
+    return j.where(F.expr(f"shiftrightunsigned(`{bit}`, CAST(`{slot}` & 63 AS INT)) & 1") == 1).drop(slot, word, bit)
+
+
 #: Caches of this worker process; one process serves the tasks of all stages in turn.
 _CACHES: list[dict] = []
 

@@ -28,9 +28,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernix.llm.common import NULL_ID, cut, fresh
+from quernix.llm.common import NULL_ID, among, cut, fresh
 
-TAU, STEP, MIN_CHARS, BITS = 2, 8, 30, 22
+TAU, STEP, MIN_CHARS = 2, 8, 30
 #: Characters of the verification's first look at two lines, from where they begin to differ.
 LOOK = 24
 _LETTERS = "enthraoi"
@@ -176,24 +176,12 @@ def _candidates(lines: DataFrame, min_chars: int) -> DataFrame:
     return j.select(F.least("a.h", "b.h").alias("a"), F.greatest("a.h", "b.h").alias("b"))
 
 
-def _some(df: DataFrame, h: str, wanted: DataFrame) -> DataFrame:
-    """Rows whose hash may be among the wanted ones, by a bitmap of at most 2^(BITS - 6) words (broadcast)."""
-    slot, word, bit = fresh(df, "slot", "word", "bit")
-    place = lambda c: F.shiftrightunsigned(c, 64 - BITS)
-    p = place(F.col("h"))
-    bitmap = wanted.select(F.shiftright(p, 6).alias(word), p.bitwiseAND(63).cast("int").alias("b")).groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias(bit))
-    q = place(F.col(h))
-    d = df.withColumn(slot, q)
-    j = d.join(F.broadcast(bitmap), F.shiftright(F.col(slot), 6) == F.col(word))
-    return j.where(F.expr(f"shiftrightunsigned(`{bit}`, CAST(`{slot}` & 63 AS INT)) & 1") == 1).drop(slot, word, bit)
-
-
 def linked_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """Links between different lines: (a, b, dist, and for each its h2, did, ln of its first occurrence); b starts later or ties."""
     lines = _lines(df, id_col, text_col)
     pairs = cut(_candidates(lines, min_chars))
     wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h")))
-    texts = _some(lines.select("did", "ln", "line", "h1", "h2"), "h1", wanted).groupBy("h1", "h2", "line").agg(F.min(F.struct("did", "ln")).alias("at"))
+    texts = among(lines.select("did", "ln", "line", "h1", "h2"), "h1", wanted).groupBy("h1", "h2", "line").agg(F.min(F.struct("did", "ln")).alias("at"))
     side = lambda s: texts.select(F.col("h1").alias(s), F.col("h2").alias(f"{s}2"), F.col("line").alias(f"{s}t"), F.col("at").alias(f"{s}at"))
     # Dealt by pair: verification costs more than its rows weigh, and a line of many pairs spreads over the tasks.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

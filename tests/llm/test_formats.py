@@ -80,6 +80,56 @@ def test_chat_system_turn_and_history(spark):
     assert all(r["n_context"] >= 2 for r in w[1:])  # the system turn and repeated history
 
 
+def windows_of(spark, rs, **kw):
+    df = spark.createDataFrame(rs, "conv_id long, turn long, role string, text string")
+    return df, sorted(rows(chat.chat_windows(df, **kw)), key=lambda r: (r["conv_id"] is not None, r["conv_id"] or 0, r["first_turn"]))
+
+
+def test_chat_system_turn_in_effect(spark):
+    """Every window carries the last system turn up to its first own turn, and none that is outdated."""
+    say = lambda t: f"t{t} " + "w " * 90
+    rs = [(1, t, "system" if t % 20 == 5 else "assistant" if t % 2 else "user", f"rule {t}" if t % 20 == 5 else say(t)) for t in range(70)]
+    for blocks in (4096, 7):
+        _, w = windows_of(spark, rs, block_turns=blocks)
+        assert sum(r["n_new"] for r in w) == 70
+        for r in w:
+            first = r["first_turn"] - 1
+            now = [t for t in range(5, 70, 20) if t <= first]
+            seen = re.findall(r"rule (\d+)", r["text"])
+            assert seen == [str(now[-1])] if now else seen == []
+
+
+def test_chat_windows_are_filled(spark):
+    """No two windows in a row of one system turn would fit into one; long turns do not tear the others apart."""
+    import random
+
+    rnd = random.Random(3)
+    rs = [(c, t, "system" if t == 0 else "user" if t % 2 else "assistant", "w " * (rnd.choice((5, 40, 280, 300, 600)) if t else 5)) for c in range(12) for t in range(60)]
+    _, w = windows_of(spark, rs)
+    by = defaultdict(list)
+    for r in w:
+        by[r["conv_id"]].append(r)
+    for c, ws in by.items():
+        own = {t: len(x.split()) + 4 for k, t, role, x in rs if k == c}
+        room = 1024 - 256 - own[0]
+        size = [sum(own[t] for t in range(r["first_turn"] - 1, r["first_turn"] - 1 + r["n_new"]) if t) for r in ws]
+        assert all(s <= room for s in size)
+        spans_cut = sum(a + own[b["first_turn"] - 1] <= room for a, b in zip(size, ws[1:]))
+        assert spans_cut <= 1  # at most where _SPAN budgets end
+
+
+def test_chat_blocks_give_the_same_turns(spark):
+    """A conversation cut into many blocks of turn numbers keeps its turns, their ranks, history and loss."""
+    rs = chat_rows() + [(80, t, "assistant" if t % 2 else "user", f"<|end|> {t} " + "w " * 30) for t in range(-9, 40)]
+    df, w = windows_of(spark, rs, block_turns=3)
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in rows(chat.chat_digest(chat.chat_windows(df, block_turns=3)))}
+    assert got == chat_expected(rs)
+    of = [r for r in w if r["conv_id"] == 80]
+    assert [r["first_turn"] for r in of] == [1 + sum(x["n_new"] for x in of[:i]) for i in range(len(of))]
+    assert all(r["n_context"] == 2 for r in of[1:])
+    assert all(r["n_context"] == 0 or "<|start|>" in r["text"] for r in w)
+
+
 def test_op1_query(spark):
     src = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     src += [(-7, 0, "user", CONTROL[0]), (-7, 1, "assistant", CONTROL[0])]

@@ -363,8 +363,8 @@ class Rng:
         """Uniform in [0, n) by rejection on the top 32 bits."""
         if not 0 < n <= 2**32:
             raise FitError(f"no draw below {n}")
-        most = 2**32 - 2**32 % n
+        least = (2**32 - n) % n
         while True:
             v = self.next() >> 32
-            if v < most:
+            if v >= least:
                 return v % n

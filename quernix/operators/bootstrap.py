@@ -25,8 +25,8 @@ def _mix(z: np.ndarray) -> np.ndarray:
 def draws(seed: int):
     """Column function (stream, index, n): the index-th answer of a group's stream in [0, n).
 
-    A draw past the largest multiple of n is mixed again in place, so that one rejection
-    does not shift the draws after it.
+    The top 32 bits of a draw are taken, all 64 where n is larger. A draw below 2^bits mod n is rejected
+    and mixed again in place, so that one rejection does not shift the draws after it.
     """
 
     @F.pandas_udf("long")
@@ -35,10 +35,12 @@ def draws(seed: int):
             s = _mix(np.uint64(seed % 2**64) + (stream.to_numpy().astype(np.uint64) + np.uint64(1)) * np.uint64(_G))
             z = s + (index.to_numpy().astype(np.uint64) + np.uint64(1)) * np.uint64(_G)
             v, size = _mix(z), n.to_numpy().astype(np.uint64)
-            most = np.uint64(2**32) - np.uint64(2**32) % size
-            while (bad := (v >> np.uint64(32)) >= most).any():
+            wide = size > np.uint64(2**32)
+            top = lambda: np.where(wide, v, v >> np.uint64(32))
+            least = np.where(wide, np.uint64(0) - size, np.uint64(2**32) - np.minimum(size, np.uint64(2**32))) % size
+            while (bad := top() < least).any():
                 v = np.where(bad, _mix(v + np.uint64(_G)), v)
-        return pd.Series(((v >> np.uint64(32)) % size).astype(np.int64))
+            return pd.Series((top() % size).astype(np.int64))
 
     return draw
 

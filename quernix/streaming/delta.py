@@ -2,24 +2,28 @@
 
 A change set is a DataFrame of key columns and ``change`` (added, changed, removed, transient). ``refresh`` gives what
 a full evaluation of the new source would give: row-local steps run over the changed keys only, a group-by
-re-aggregates the groups those rows were in or are in now, a window its partitions, and what
-follows runs over the maintained rows. Snapshots are parquet in a shared folder.
+re-aggregates the groups those rows were in or are in now, a fit at the end refits them, a window its partitions,
+and what follows runs over the maintained rows. Snapshots are parquet in a shared folder; the state itself is a small
+text with a digest, so that another process can go on from it.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernix.errors import DeltaError
+from quernix.errors import CodecError, DeltaError
 from quernix.functions.compile import schema_of
 from quernix.functions.expr import uses_now
 from quernix.plans import codec
 from quernix.plans import steps as S
 from quernix.plans.engine import ORD, State, apply, finish, q, settled
+from quernix.sources import snapshots
 
 CHANGES = ("added", "changed", "removed", "transient")
 
@@ -113,8 +117,9 @@ LOCAL = (S.Filter, S.Project, S.Derive)
 def plan(steps) -> list[tuple[str, str]]:
     """(class, why) of each step of a bound pipeline before anything runs."""
     out, open_, broken = [], True, None
-    for s in steps:
+    for i, s in enumerate(steps):
         ordered = any(a.fn in ("first", "last") for a in getattr(s, "aggs", ()))
+        last = i == len(steps) - 1
         if broken:
             out.append(("FallBack", broken))
         elif isinstance(s, LOCAL) and open_:
@@ -124,6 +129,9 @@ def plan(steps) -> list[tuple[str, str]]:
         elif isinstance(s, S.GroupBy) and open_ and not ordered:
             out.append(("MaintainGroups", ""))
             open_ = False
+        elif isinstance(s, S.Fit) and open_ and last and s.output in ("coefficients", "summary"):
+            out.append(("MaintainFits", ""))
+            open_ = False
         elif isinstance(s, S.Window) and open_ and s.partition_by:
             out.append(("RecomputeFrame", ""))
             open_ = False
@@ -136,7 +144,13 @@ def plan(steps) -> list[tuple[str, str]]:
         elif not open_:
             out.append(("OverMaintained", ""))
         else:
-            broken = f"{type(s).__name__} is not maintained"
+            verb = type(s).__name__
+            if isinstance(s, S.Join):
+                broken = f"JoinNotRowPreserving: {s.how}"
+            elif isinstance(s, (S.GroupBy, S.Fit)):
+                broken = f"AggregateStepNotLast: {verb}" if isinstance(s, S.Fit) and not last else f"StepNotRowLocal: {verb} that reads row order or gives rows"
+            else:
+                broken = f"StepNotRowLocal: {verb}"
             out.append(("FallBack", broken))
     return out
 
@@ -147,7 +161,7 @@ def _split(steps) -> tuple[list, object | None, list]:
     n = 0
     while n < len(steps) and classes[n] in ("PropagateRows", "FilterByRelation"):
         n += 1
-    if n < len(steps) and classes[n] in ("MaintainGroups", "RecomputeFrame"):
+    if n < len(steps) and classes[n] in ("MaintainGroups", "RecomputeFrame", "MaintainFits"):
         return list(steps[:n]), steps[n], list(steps[n + 1 :])
     return list(steps[:n]), None, list(steps[n:])
 
@@ -169,6 +183,10 @@ def _save(df: DataFrame, folder: str) -> str:
     return path
 
 
+def _env(env: dict) -> tuple:
+    return tuple(sorted((str(k), repr(v)) for k, v in env.items()))
+
+
 def prime(df: DataFrame, steps, keys: tuple[str, ...], folder: str, *, tables: dict | None = None, env: dict | None = None, clock: dict | None = None) -> Primed:
     """Evaluates once and keeps what a refresh needs."""
     check_keys(df, keys)
@@ -182,7 +200,7 @@ def prime(df: DataFrame, steps, keys: tuple[str, ...], folder: str, *, tables: d
     if kept is not None:
         held = State(spark.read.parquet(p), st.schema, True)
         m = _save(apply(held, kept, tables or {}, spark).df, folder)
-    return Primed(bound, keys, codec.pipeline_hash(bound), tuple(df.dtypes), folder, p, m, Footprint("primed"), tuple(sorted((env or {}).items(), key=str)))
+    return Primed(bound, keys, codec.pipeline_hash(bound), tuple(df.dtypes), folder, p, m, Footprint("primed"), _env(env or {}))
 
 
 def _schemas(pr: Primed, df: DataFrame, tables) -> tuple:
@@ -204,13 +222,25 @@ def result(pr: Primed, df: DataFrame, *, tables: dict | None = None) -> DataFram
     return finish(st)
 
 
-def refresh(pr: Primed, delta: DataFrame | None, new: DataFrame, *, tables: dict | None = None, moved_relations: bool = False) -> Primed:
-    """The state for the new source; delta None is a full refresh."""
+def refresh(pr: Primed, delta: DataFrame | None, new: DataFrame, *, tables: dict | None = None, moved_relations: bool = False, steps=None, env: dict | None = None, keys: tuple[str, ...] | None = None) -> Primed:
+    """The state for the new source; delta None is a full refresh. Where steps, env or keys are given and are not
+    those of the state, the answer is evaluated in full for the new ones, and the footprint says why."""
+    raw, moved_env = pr.steps, env is not None and _env(env) != pr.env
     reason = None
-    if delta is None:
-        reason = "FullRefresh"
+    if steps is not None or moved_env:
+        if steps is None:
+            raise DeltaError("a new environment comes with the steps that it is for")
+        raw = S.bind(tuple(steps), env, None)
+        if codec.pipeline_hash(raw) != pr.hash:
+            reason = "EnvChanged" if moved_env else "PipelineChanged"
+    if reason:
+        pr = replace(pr, steps=raw, env=_env(env or {}))
+    elif keys is not None and tuple(keys) != pr.keys:
+        pr, reason = replace(pr, keys=tuple(keys)), "RowIdentityUnusable"
+    elif delta is None:
+        reason = "DeltaIsFullRefresh"
     elif tuple(new.dtypes) != pr.schema:
-        reason = "SchemaMoved"
+        reason = "SourceSchemaMoved"
     elif moved_relations and S.sources_of(pr.steps):
         reason = "RelationMoved"
     elif any(c == "FallBack" for c, _ in plan(pr.steps)):
@@ -218,7 +248,7 @@ def refresh(pr: Primed, delta: DataFrame | None, new: DataFrame, *, tables: dict
     elif any(uses_now(s) for s in pr.steps):
         reason = "ClockMoved"
     if reason:
-        return replace(prime(new, pr.steps, pr.keys, pr.folder, tables=tables), footprint=Footprint("full", reason=reason))
+        return replace(prime(new, pr.steps, pr.keys, pr.folder, tables=tables), env=pr.env, footprint=Footprint("full", reason=reason))
     spark, keys, tables = new.sparkSession, pr.keys, tables or {}
     validate(delta, keys)
     touched = delta.where("change <> 'transient'").select(*[q(k).alias(f"__d{i}") for i, k in enumerate(keys)]).persist()
@@ -242,7 +272,7 @@ def refresh(pr: Primed, delta: DataFrame | None, new: DataFrame, *, tables: dict
     if kept is None:
         touched.unpersist()
         return replace(pr, prefix=p, maintained=p, footprint=Footprint("incremental", n))
-    part = list(kept.keys if isinstance(kept, S.GroupBy) else kept.partition_by)
+    part = list(kept.keys if isinstance(kept, S.GroupBy) else kept.group_by if isinstance(kept, S.Fit) else kept.partition_by)
     current = spark.read.parquet(p)
     if not part:
         m, groups = _save(apply(State(current, st.schema, True), kept, tables, spark).df, pr.folder), 1
@@ -265,17 +295,67 @@ def refresh(pr: Primed, delta: DataFrame | None, new: DataFrame, *, tables: dict
     return replace(pr, prefix=p, maintained=m, footprint=Footprint("incremental", n, groups))
 
 
+def encode_state(pr: Primed, source: str = "") -> str:
+    """The state as text: the pipeline, its hash, the snapshots and what they were made of. ``source`` names the
+    source's version, if the caller has such a name; the last member is a digest of the rest."""
+    t = asdict(replace(pr, steps=())) | {"steps": json.loads(codec.encode(pr.steps)), "source": source}
+    body = json.dumps(t, sort_keys=True, ensure_ascii=False)
+    return json.dumps({"digest": hashlib.sha256(body.encode()).hexdigest(), "state": body})
+
+
+def decode_state(text: str, steps=None, source: str | None = None) -> Primed:
+    """Refuses text that was damaged, and a state of another pipeline or source than those given."""
+    try:
+        outer = json.loads(text)
+        body = outer["state"]
+        if hashlib.sha256(body.encode()).hexdigest() != outer["digest"]:
+            raise CodecError("a state whose digest does not match")
+        t = json.loads(body)
+        pr = Primed(
+            codec.decode(json.dumps(t["steps"])), tuple(t["keys"]), t["hash"], tuple(map(tuple, t["schema"])), t["folder"], t["prefix"], t["maintained"], Footprint(**t["footprint"]), tuple(map(tuple, t["env"]))
+        )
+    except (ValueError, KeyError, TypeError, AttributeError) as e:
+        raise CodecError(f"not a state: {e}") from None
+    if codec.pipeline_hash(pr.steps) != pr.hash or steps is not None and codec.pipeline_hash(tuple(steps)) != pr.hash:
+        raise CodecError("a state of another pipeline")
+    if source is not None and source != t["source"]:
+        raise CodecError("a state of another source")
+    return pr
+
+
 def follow(stream: DataFrame, pr: Primed, source, on_result, *, checkpoint: str):
-    """A structured stream of change rows (keys, change): each micro-batch refreshes the state from ``source()``."""
-    held = {"state": pr, "batch": -1}
+    """A structured stream of change rows (keys, change): each micro-batch refreshes the state from ``source()``.
+
+    The rows of a batch have no order, so a key with several changes counts as changed: a refresh reads the
+    source for every key named, and so finds out what it is. After ``on_result(state, batch)`` the state is stored in the
+    checkpoint folder; a restart goes on from the last one stored, and calls on_result again for a batch that was
+    interrupted before that. Snapshots that neither of the last two states has are deleted.
+    """
+    spark = stream.sparkSession
+    folder = f"{checkpoint}/quernix-state"
+
+    def stored() -> list[int]:
+        return sorted(int(n) for n in snapshots.names(spark, folder) if n.isdigit())
+
+    held = {"state": pr, "batch": -1, "before": pr}
+    if done := stored():
+        before, state = (decode_state(snapshots.read_text(spark, f"{folder}/{n}"), pr.steps) for n in (done * 2)[-2:])
+        held |= {"state": state, "batch": done[-1], "before": before}
 
     def batch(df: DataFrame, batch_id: int) -> None:
         if batch_id <= held["batch"]:
             return  # replayed after a restart
-        last = df.groupBy(*pr.keys).agg(F.max("change").alias("change"))
-        held["state"] = refresh(held["state"], last, source())
-        held["batch"] = batch_id
-        on_result(held["state"], batch_id)
+        g = df.groupBy(*pr.keys).agg(F.count("*").alias("n"), F.min("change").alias("change"))
+        last = g.select(*map(q, pr.keys), F.when(F.col("n") == 1, F.col("change")).otherwise("changed").alias("change"))
+        state = refresh(held["state"], last, source())
+        on_result(state, batch_id)
+        snapshots.write_text(spark, f"{folder}/{batch_id}", encode_state(state))
+        files = lambda p: {p.prefix, p.maintained}
+        for path in files(held["before"]) - files(held["state"]) - files(state) - files(pr):
+            snapshots.delete(spark, path)
+        for old in stored()[:-2]:
+            snapshots.delete(spark, f"{folder}/{old}")
+        held.update(state=state, batch=batch_id, before=held["state"])
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).start()
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import math
+from dataclasses import replace
 from decimal import Decimal
 
 import numpy as np
@@ -252,6 +253,17 @@ def test_numerics():
     assert math.isnan(N.student_t_cdf(1, -1)) and [N.Rng(0).next()] == [0xE220A8397B1DCDAF]
     r = N.Rng(5, 2)
     assert all(0 <= r.below(7) < 7 and 0 <= r.uniform53() < 1 for _ in range(100))
+    # A draw whose top 32 bits are below 2^32 mod n is rejected.
+    n, tops = 3 * 2**30, []
+    while not any(t < 2**30 for t in tops):
+        seed = len(tops)
+        tops.append(N.Rng(seed, 0).next() >> 32)
+    r, first = N.Rng(seed, 0), N.Rng(seed, 0)
+    first.next()
+    second = first.next() >> 32
+    while second < 2**30:
+        second = first.next() >> 32
+    assert r.below(n) == second % n
 
 
 SALES = S.Embedded(
@@ -380,12 +392,43 @@ def test_delta(spark):
         delta.diff(old.union(old), new, ("k",))
 
 
+def test_change_sets(spark, tmp_path):
+    from quernix.streaming import changes as C
+
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
+    new = spark.createDataFrame([(1, "a"), (2, "c"), (4, "d")], "k int, v string")
+    last = spark.createDataFrame([(1, "x"), (2, "c"), (3, "z")], "k int, v string")
+    a, b = C.between(old, new, ("k",)), C.between(new, last, ("k",))
+    read = lambda d: {tuple(r) for r in d.rows.collect()}
+    ab = C.compose_checked(a, b)
+    assert read(ab) == {(1, "changed"), (2, "changed"), (3, "changed"), (4, "transient")}
+    assert read(C.compose_all([a, b])) == read(ab) == read(C.compose(C.empty(old, ("k",)), ab)) and C.empty(old, ("k",)).is_quiet()
+    assert C.compose(C.full(("k",)), a).is_full and C.compose(a, replace(b, keys=("v",))).is_full
+    assert {tuple(r) for r in C.resolve(a, new).collect()} == {(2, "c"), (4, "d")} and C.resolve(C.full(("k",)), new) is None
+    back = C.decode(spark, C.encode(ab))
+    assert read(back) == read(ab) and C.encode(back) == C.encode(ab) and C.decode(spark, C.encode(C.full(("k",)))).is_full
+    bad = spark.createDataFrame([(1, "added"), (1, "gone"), (None, "added")], "k int, change string")
+    d = C.ChangeSet(("k",), bad, ("c", "", "c"))
+    assert C.defects(d) == ["a column without a name", "column invalidated more than once: c", "a null key", "a row named more than once", "a change that is none of added, changed, removed, transient"]
+    assert C.defects(C.ChangeSet((), None)) == ["a change set names its keys"] and C.defects(a) == []
+    for f in (lambda: C.validate(d), lambda: C.compose_checked(a, d), lambda: C.compose_checked(a, replace(b, keys=("v",)))):
+        with pytest.raises(X.DeltaError):
+            f()
+    for text in ("[]", '{"$type":"rowSet","keys":["k"],"columns":[]}', '{"$type":"x","keys":["k"]}', C.encode(ab).replace("changed", "moved")):
+        with pytest.raises(X.CodecError):
+            C.decode(spark, text)
+    c = C.of_change(old, ("k",), "columnValuesChanged", "v")
+    assert C.to_change(c) == ("columnValuesChanged", "v") and C.of_change(old, ("k",), "rowsAppended").is_full and C.to_change(a) == ("unknown", None)
+
+
 REFRESHED = [
     (S.Filter(col("v") > 1), S.Derive("w", col("v") * 2)),
     (S.Filter(col("v") > 1), S.Project((("g", "g"), ("v", "v"))), S.GroupBy(("g",), (S.Agg("t", "sum", "v"), S.Agg("m", "median", "v"))), S.Filter(col("t") > 3)),
     (S.Window("cumulMax", "w", "v", ("g",), (("v", "asc"),)), S.Sort((("w", "desc"), ("k", "asc"))), S.Limit(3)),
     (S.GroupBy((), (S.Agg("n", "count", "v"),)),),
     (S.Distinct(),),
+    (S.Filter(col("v") > 0), S.Fit("v", (("x", col("k")),), group_by=("g",))),
+    (S.Derive("x", col("k") * 2), S.Fit("v", (("x", col("x")),), output="summary")),
 ]
 
 
@@ -395,13 +438,75 @@ def test_refresh_equals_full(spark, steps, tmp_path):
     new = old.where("k % 5 <> 0").withColumn("v", F.when(F.col("k") == 7, 50).otherwise(F.col("v"))).union(spark.createDataFrame([(99, "d", 4)], "k int, g string, v int"))
     pr = delta.prime(old, steps, ("k",), str(tmp_path))
     re = delta.refresh(pr, delta.diff(old, new, ("k",)), new)
-    rows = lambda d: sorted(map(tuple, d.collect()), key=str)
+    rows = lambda d: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect()), key=str)
     assert rows(delta.result(re, new)) == rows(run(spark, steps, new)) and rows(delta.result(pr, old)) == rows(run(spark, steps, old))
     full = any(c == "FallBack" for c, _ in delta.plan(steps))
     assert re.footprint.kind == ("full" if full else "incremental") and (full or re.footprint.rows == 6)
     assert delta.refresh(re, delta.diff(new, new, ("k",)), new).footprint.kind == ("full" if full else "reused")
 
 
+def test_state_codec_and_reasons(spark, tmp_path):
+    old = spark.createDataFrame([(i, "abc"[i % 3], i % 7) for i in range(20)], "k int, g string, v int")
+    steps = (S.Filter(col("v") > param("p")), S.GroupBy(("g",), (S.Agg("t", "sum", "v"),)))
+    pr = delta.prime(old, steps, ("k",), str(tmp_path), env={"p": 1})
+    text = delta.encode_state(pr, "v1")
+    back = delta.decode_state(text, source="v1")
+    assert back == pr and delta.encode_state(back, "v1") == text
+    assert sorted(map(tuple, delta.result(back, old).collect())) == sorted(map(tuple, run(spark, steps, old, env={"p": 1}).collect()))
+    for broken in (text.replace("abc", "abd") if "abc" in text else text[:-20] + "x" + text[-19:], text.replace(pr.hash, "sha256:0"), "{}", "x"):
+        with pytest.raises(X.CodecError):
+            delta.decode_state(broken)
+    with pytest.raises(X.CodecError):
+        delta.decode_state(text, source="v2")
+    with pytest.raises(X.CodecError):
+        delta.decode_state(text, steps=(S.Distinct(),))
+    d = delta.diff(old, old, ("k",))
+    why = lambda **kw: delta.refresh(pr, kw.pop("d", d), kw.pop("new", old), **kw).footprint.reason
+    assert why() is None and why(d=None) == "DeltaIsFullRefresh" and why(new=old.withColumn("v", F.col("v").cast("long"))) == "SourceSchemaMoved"
+    assert why(steps=steps, env={"p": 2}) == "EnvChanged" and why(steps=(S.Filter(col("v") > 3),)) == "PipelineChanged" and why(keys=("g", "k")) == "RowIdentityUnusable"
+    moved = delta.refresh(pr, d, old, steps=steps, env={"p": 2})
+    assert sorted(map(tuple, delta.result(moved, old).collect())) == sorted(map(tuple, run(spark, steps, old, env={"p": 2}).collect()))
+    classes = lambda *ss: [c for c, _ in delta.plan(ss)]
+    fit = S.Fit("v", (("x", col("k")),))
+    assert classes(S.Filter(col("v") > 1), fit) == ["PropagateRows", "MaintainFits"] and delta.plan((fit, S.Limit(1)))[0] == ("FallBack", "AggregateStepNotLast: Fit")
+    assert delta.plan((S.Join("left", DEPTS, (("g", "dept"),)),))[0] == ("FallBack", "JoinNotRowPreserving: left") and delta.plan((S.Distinct(),))[0] == ("FallBack", "StepNotRowLocal: Distinct")
+
+
+def test_follow_goes_on_after_a_restart(spark, tmp_path):
+    """Batches with several changes of a key; a query that ends and starts again; stored states; deleted snapshots."""
+    import os
+
+    schema, at = "k int, g string, v int", {"n": 0}
+    versions = [spark.createDataFrame(rows, schema) for rows in (
+        [(1, "a", 1), (2, "b", 2)], [(1, "a", 5), (2, "b", 2), (3, "b", 7)], [(1, "a", 5), (3, "b", 9), (4, "c", 1)], [(3, "b", 9), (4, "c", 2)],
+    )]
+    changes = [[(1, "changed"), (3, "transient"), (3, "added")], [(2, "removed"), (3, "changed"), (4, "added"), (5, "transient")], [(1, "removed"), (4, "changed")]]
+    steps = (S.GroupBy(("g",), (S.Agg("t", "sum", "v"), S.Agg("n", "count", "v"))),)
+    pr = delta.prime(versions[0], steps, ("k",), str(tmp_path / "snap"))
+    seen = {}
+
+    def on_result(state, batch_id):
+        seen.setdefault(batch_id, []).append(sorted(map(tuple, delta.result(state, versions[at["n"]]).collect())))
+
+    def step(n):
+        at["n"] = n
+        spark.createDataFrame(changes[n - 1], "k int, change string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("k int, change string").parquet(str(tmp_path / "in"))
+        # Every batch is a query of its own: it starts from the stored state.
+        w = delta.follow(stream, pr, lambda: versions[at["n"]], on_result, checkpoint=str(tmp_path / "check"))
+        try:
+            w.processAllAvailable()
+        finally:
+            w.stop()
+
+    for n in (1, 2, 3):
+        step(n)
+        want = sorted(map(tuple, run(spark, steps, versions[n]).collect()))
+        assert seen[n - 1] == [want]
+    assert sorted(n for n in os.listdir(tmp_path / "check" / "quernix-state") if n.isdigit()) == ["1", "2"]
+    assert len(os.listdir(tmp_path / "snap")) <= 2 + 2 * 2
+
+
 def test_column_ops(spark):
     t = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "a int, b int").coalesce(1)
     O = column_ops  # noqa: E741, N806

@@ -4,11 +4,15 @@ A document's token ids (a closing id 0 appended) first fill whole windows of the
 rest is routed to the shortest tier that holds it. Tiers are packed from long to short: a window takes
 one piece of its tier, then pieces of shorter tiers that fit, and at last the head of one that does
 not, so every window is exactly as long as its tier, a power of two, and needs no padding. Each task
-keeps what is left over for its next step; only a task's last sequence can be short. Windows of mixed tiers are
-grouped, long ones first, into step groups of equal token counts.
+keeps what is left over for its next step; only a task's last sequence can be short.
+
+Windows are dealt to step groups of exactly ``group`` tokens: long ones first, each to the group with the most
+room. As all windows are powers of two that divide the group, groups fill to the last token, and all groups of a
+packing step get alike shares of every tier, so that training steps cost about the same. Windows that do not fill
+a group wait for the next step; a task's last group can be short.
 
 Rows of a task depend on its own input only, so a lost task is simply run again. Memory holds one step
-of documents, whatever the size of the input.
+of documents, whatever the size of the input. Document ids are whole numbers; tiers are powers of two.
 
 Ids are those of the ``tokenizers`` vocabulary with control tokens read as ordinary text. Characters on
 which its splitting rules are shared by the faster ``tiktoken`` build of the same vocabulary (checked in the tests)
@@ -21,6 +25,7 @@ packed as often as they come; an empty table gives no rows; other columns are ig
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -33,7 +38,7 @@ from quernix.llm.common import cache, claim, trim
 
 TIERS, GROUP = (1024, 512, 256, 128), 8192
 #: Bytes of words kept per worker (a speed-up alone: words beyond are worked out each time), and tokens per packing step.
-TABLE, STEP = 24 << 20, 1 << 20
+TABLE, STEP = 40 << 20, 1 << 20
 #: What an entry takes beside its characters and ids.
 _ENTRY = 200
 _SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, `offset` long, sequence_length long, step_group long, ids binary"
@@ -83,24 +88,32 @@ class Encoder:
         if self._wide.search(text) or len(text) < 64:
             return self._all(text)
         head, *rest = text.split(" ")
-        seen = self.seen
-        try:
-            return self._all(head) + b"".join([seen[w] for w in rest])
-        except KeyError:
-            pass
-        new = list({w for w in rest if w and w not in seen})
+        parts = list(map(self.seen.get, rest))
+        if None in parts:
+            at = [i for i, x in enumerate(parts) if x is None]
+            got = self._new({rest[i] for i in at})
+            if got is None:
+                return self._all(text)
+            for i in at:
+                parts[i] = got[rest[i]]
+        return self._all(head) + b"".join(parts)
+
+    def _new(self, words: set[str]) -> dict[str, bytes] | None:
+        """Ids of words that each follow a space; None if they cannot be told apart."""
+        new = [w for w in words if w]
         ids = np.array(self.fast.encode_ordinary("".join([" " + w for w in new])), "<u4")
         # A word opens with a space and holds no other, so tokens that begin with one part the words again.
-        at = np.flatnonzero(self.opens[ids]).tolist() + [len(ids)]
+        at = (np.flatnonzero(self.opens[ids]) * 4).tolist() + [len(ids) * 4]
         if len(at) != len(new) + 1:
-            return self._all(text)
-        got = {w: ids[a:b].tobytes() for w, a, b in zip(new, at, at[1:])}
+            return None
+        data = ids.tobytes()
+        got = {w: data[a:b] for w, a, b in zip(new, at, at[1:])}
         if self.held < TABLE:
-            seen.update(got)
-            self.held += sum(_ENTRY + len(w) + len(x) for w, x in got.items())
-        if "" in rest and "" not in seen:
+            self.seen.update(got)
+            self.held += sum(map(len, got)) + len(data) + _ENTRY * len(got)
+        if "" in words:
             got[""] = self._all(" ")
-        return self._all(head) + b"".join([got.get(w) or seen[w] for w in rest])
+        return got
 
 
 _ENCODERS: dict[str, Encoder] = cache({})
@@ -167,9 +180,23 @@ class Packer:
             # Padded to the longest tier, unless it is itself a power of two.
             self.done.append((n if n & (n - 1) == 0 else self.tiers[0], rest))
 
-    def drain(self) -> list[tuple[int, list]]:
-        out, self.done = sorted(self.done, key=lambda x: -x[0]), []
-        return out
+    def drain(self, group: int, last: bool) -> list[list[tuple[int, list]]]:
+        """The windows done so far as full groups; the rest waits, or at the end makes a short group."""
+        windows, self.done = sorted(self.done, key=lambda x: -x[0]), []
+        groups: list[list[tuple[int, list]]] = [[] for _ in range(sum(w[0] for w in windows) // group)]
+        # (room taken, group): the group with the most room comes first.
+        heap = [(0, i) for i in range(len(groups))]
+        for w in windows:
+            if heap and heap[0][0] + w[0] <= group:
+                taken, i = heap[0]
+                groups[i].append(w)
+                heapq.heapreplace(heap, (taken + w[0], i))
+            else:
+                self.done.append(w)
+        if last and self.done:
+            groups.append(self.done)
+            self.done = []
+        return groups
 
 
 def pack_documents(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, group: int = GROUP, closing_id: int = 0) -> DataFrame:
@@ -182,18 +209,19 @@ def pack_documents(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col
         claim(_ENCODERS)
         base = TaskContext.get().partitionId() << 33
         enc, packer, totals = encoder(path), Packer(tiers), {}
-        seq, tokens = 0, 0
+        seq, step = 0, 0
 
-        def out():
-            nonlocal seq, tokens
+        def out(last: bool):
+            nonlocal seq, step
             rows = []
-            for size, pieces in packer.drain():
-                at = 0
-                for doc, start, ids in pieces:
-                    rows.append((doc[0], start, len(ids), doc[1], base + seq, at, size, base + tokens // group, ids.tobytes()))
-                    at += len(ids)
-                seq += 1
-                tokens += size
+            for windows in packer.drain(group, last):
+                for size, pieces in windows:
+                    at = 0
+                    for doc, start, ids in pieces:
+                        rows.append((doc[0], start, len(ids), doc[1], base + seq, at, size, base + step, ids.tobytes()))
+                        at += len(ids)
+                    seq += 1
+                step += 1
             cols = list(zip(*rows)) or [()] * 9
             kinds = [pa.int64()] * 8 + [pa.binary()]
             names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group", "ids"]
@@ -207,10 +235,10 @@ def pack_documents(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col
                 size += len(ids)
                 if size >= STEP:
                     packer.pack(False)
-                    yield out()
+                    yield out(False)
                     size = 0
         packer.pack(True)
-        yield out()
+        yield out(True)
         trim()
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _SCHEMA)

@@ -275,6 +275,38 @@ def test_packing(spark):
     assert packing.pack_documents(odd(spark).limit(0), path).count() == 0
 
 
+def test_step_groups_are_balanced(spark):
+    """Full groups have exactly as many tokens as asked for, and alike shares of every tier; only a task's last group is short."""
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(2)
+    packer, groups = packing.Packer(), []
+    for i in range(6000):
+        packer.add(i, np.zeros(min(int(rnd.paretovariate(0.9) * 30), 5000), "<u4"))
+        if i % 2000 == 1999:
+            packer.pack(i == 5999)
+            got = packer.drain(packing.GROUP, i == 5999)
+            groups += got
+            full = got[: len(got) - (i == 5999)]
+            assert all(sum(size for size, _ in g) == packing.GROUP for g in full)
+            for tier in packing.TIERS[:2]:
+                n = [sum(size == tier for size, _ in g) for g in full]
+                assert max(n) - min(n) <= 1024 // tier
+    assert not packer.done and not packer.waiting and len(groups) > 50
+    assert sum(len(p[2]) for g in groups for _, ps in g for p in ps) > 400_000
+    out = rows(queries.op6_packing(spark, SF))
+    by = defaultdict(dict)
+    for r in out:
+        by[r["step_group"]][r["sequence_id"]] = r["sequence_length"]
+    totals = defaultdict(list)
+    for g, sizes in by.items():
+        totals[g >> 33].append((g, sum(sizes.values())))
+    for task in totals.values():
+        assert all(n == packing.GROUP for _, n in sorted(task)[:-1]) and sorted(task)[-1][1] <= packing.GROUP
+
+
 @pytest.mark.parametrize("text", ["a  b\n\n c", "x <|endoftext|> y", "don't  it's ok “quoted” — dash… 1234567 a1b2", " lead", "trail ", "tab\tnew\r\nline " * 20, "é à ü ß œ " * 30, "漢字 mixed " * 20, "a" * 3000, "word " * 500 + "\n" + " end" * 300, "non break " * 40])
 def test_encoder(text):
     import numpy as np

@@ -7,8 +7,10 @@ or same id and smaller position) marks its words for removal.
 
 Skew: copies of a packed string inside a batch collapse before the shuffle, because all windows of the
 later copy are known to be repeats. Minimisers that carry a large share of all windows are counted
-first over the whole input; their windows are dealt further by a second, longer minimiser. The number
-of buckets follows the counted words, so a bucket's memory does not depend on the size of the input.
+first over the whole input; their windows are dealt further by a second, longer minimiser, and go through
+LANES first: a lane drops the copies that it sees of one packed string, so that a bucket gets at most LANES
+copies of a passage, however many documents hold it. The number of buckets follows the counted words, so a
+bucket's memory does not depend on the size of the input.
 
 Defined results: null and empty texts have no words; documents of fewer than k words keep them all; a
 null id sorts before all others; rows that repeat an id compare by position only, so they never remove
@@ -28,8 +30,8 @@ from quernix.llm.common import U64, cut, keyed, mix, real_id, roll, sliding_min,
 
 K, M, M2 = 20, 3, 8
 #: Bytes of text per step of a map task, and windows a bucket should hold.
-STEP, BUCKET_WINDOWS = 4 << 20, 400_000
-_ROW = "bucket int, blob binary"
+STEP, BUCKET_WINDOWS, LANES = 4 << 20, 400_000, 64
+_ROW = "bucket int, lane int, blob binary"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], k: int):
@@ -79,7 +81,7 @@ def _shares(batches: Iterator[pa.RecordBatch], k: int, share: float) -> Iterator
 def _pack(arrays: list[np.ndarray], text: bytes) -> bytes:
     from zstandard import ZstdCompressor
 
-    return ZstdCompressor(level=3).compress(len(arrays[0]).to_bytes(8, "little") + b"".join(np.ascontiguousarray(a, np.int64).tobytes() for a in arrays) + text)
+    return ZstdCompressor(level=6).compress(len(arrays[0]).to_bytes(8, "little") + b"".join(np.ascontiguousarray(a, np.int64).tobytes() for a in arrays) + text)
 
 
 def _unpack(blob: bytes, arrays: int) -> tuple[list[np.ndarray], bytes]:
@@ -90,12 +92,27 @@ def _unpack(blob: bytes, arrays: int) -> tuple[list[np.ndarray], bytes]:
     return [np.frombuffer(data, np.int64, n, 8 + 8 * n * i) for i in range(arrays)], data[8 + 8 * n * arrays :]
 
 
+def _lead(pieces: list[bytes], at: list[tuple[int, int]]) -> np.ndarray:
+    """Which pieces repeat an equal one that starts earlier; ties are none."""
+    best: dict[bytes, tuple[int, int]] = {}
+    for p, t in zip(pieces, at):
+        if t < best.get(p, (2**63, 0)):
+            best[p] = t
+    return np.fromiter((t > best[p] for p, t in zip(pieces, at)), bool, len(pieces))
+
+
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "lane", "blob"])
+
+
 def _deal(batches: Iterator[pa.RecordBatch], k: int, buckets: int, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Packed super-k-mers by bucket (even numbers of arrays carry text), and ranges already known to go (bucket -1 - b)."""
+    """Packed super-k-mers by bucket and lane (-1: none), and ranges already known to go (bucket -1 - b)."""
     for held in _chunks(batches, k):
         buf, starts, ends, h, ok, doc, first, low = _windows(held, k)
         key = low[ok]
-        if len(heavy) and (hot := np.isin(key, heavy)).any():
+        hot = np.isin(key, heavy)
+        if hot.any():
             second = sliding_min(mix(roll(h, M2) ^ U64(0x5851F42D4C957F2D)), k - M2 + 1)[ok]
             key = np.where(hot, mix(key ^ mix(second)), key)
         cuts = np.flatnonzero((np.diff(ok) != 1) | (key[1:] != key[:-1])) + 1
@@ -106,31 +123,65 @@ def _deal(batches: Iterator[pa.RecordBatch], k: int, buckets: int, heavy: np.nda
         dids, rks = np.array([x[0] for x in held], np.int64)[d], np.array([x[1] for x in held], np.int64)[d]
         pos, words = w0 - first[d], w1 - w0 + 1
         bucket = (mix(key[a]) % U64(buckets)).astype(np.int64)
+        # A step's hot pieces share a lane; steps are spread over the lanes by what they begin with.
+        lane = np.where(hot[a], int(h[0] % U64(LANES)), -1)
         pieces = [buf[s:e] for s, e in zip(starts[w0].tolist(), ends[w1].tolist())]
-        # Of equal pieces only the earliest travels on; the rest repeat it whole. Ties are kept.
-        best: dict[bytes, tuple[int, int]] = {}
-        at = list(zip(dids.tolist(), pos.tolist()))
-        for p, t in zip(pieces, at):
-            if t < best.get(p, (2**63, 0)):
-                best[p] = t
-        gone = np.fromiter((t > best[p] for p, t in zip(pieces, at)), bool, len(pieces))
-        out_b, out = [], []
+        # Of equal pieces only the earliest travels on; the rest repeat it whole.
+        gone = _lead(pieces, list(zip(dids.tolist(), pos.tolist())))
+        out = []
         if gone.any():
             g = np.flatnonzero(gone)
-            out_b.append(-1 - int(bucket[g[0]]))
-            out.append(_pack([dids[g], rks[g], pos[g], pos[g] + words[g]], b""))
+            out.append((-1 - int(bucket[g[0]]), -1, _pack([dids[g], rks[g], pos[g], pos[g] + words[g]], b"")))
         stay = np.flatnonzero(~gone)
-        stay = stay[np.argsort(bucket[stay], kind="stable")]
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[stay])) + 1, [len(stay)]])
+        place = bucket * 2 + (lane >= 0)
+        stay = stay[np.argsort(place[stay], kind="stable")]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(place[stay])) + 1, [len(stay)]])
         for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
             s = stay[i:j]
-            out_b.append(int(bucket[s[0]]))
-            out.append(_pack([dids[s], rks[s], pos[s], words[s]], b" ".join([pieces[x] for x in s.tolist()])))
-        yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out, pa.binary())], ["bucket", "blob"])
+            if len(s):
+                out.append((int(bucket[s[0]]), int(lane[s[0]]), _pack([dids[s], rks[s], pos[s], words[s]], b" ".join([pieces[x] for x in s.tolist()]))))
+        yield _batch(out)
+
+
+class _Thin:
+    """Of the equal pieces of a lane, keeps the earliest (several where they tie)."""
+
+    def __init__(self):
+        self.best: dict[bytes, tuple[tuple[int, int], set[tuple[int, int]]]] = {}
 
+    def add(self, blob: bytes) -> pa.RecordBatch:
+        """Takes a blob's pieces; returns the ranges that this shows to repeat an earlier piece."""
+        (did, rk, pos, words), text = _unpack(blob, 4)
+        starts, ends = word_bounds(np.frombuffer(text, np.uint8))
+        end = np.cumsum(words)
+        gone = []
+        for d, q, r, n, s, e in zip(did.tolist(), pos.tolist(), rk.tolist(), words.tolist(), starts[end - words].tolist(), ends[end - 1].tolist()):
+            piece, at = text[s:e], (d, q)
+            lead, rows = self.best.setdefault(piece, (at, set()))
+            if at < lead:
+                gone += [(*lead, *x) for x in rows]
+                self.best[piece] = (at, {(r, n)})
+            elif at == lead:
+                rows.add((r, n))
+            else:
+                gone.append((d, q, r, n))
+        d, q, r, n = (np.array(x, np.int64) for x in zip(*gone)) if gone else (np.empty(0, np.int64),) * 4
+        return _ranges(d, r, q, q + n)
 
-def _ranges(did, rk, lo, hi) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (did, rk, lo, hi)], ["did", "rk", "lo", "hi"])
+    def blob(self) -> bytes:
+        """What is left, packed."""
+        kept = [(p, *at, r, n) for p, (at, rows) in self.best.items() for r, n in rows]
+        d, q, r, n = (np.array(x, np.int64) for x in list(zip(*kept))[1:])
+        return _pack([d, r, q, n], b" ".join([x[0] for x in kept]))
+
+
+def _ranges(did, rk, lo, hi, bucket: int | None = None, blob: bytes | None = None) -> pa.RecordBatch:
+    n = max(len(did), int(blob is not None))
+    parts = [pa.array(x if blob is None else [None], pa.int64()) for x in (did, rk, lo, hi)]
+    return pa.RecordBatch.from_arrays([*parts, pa.array([bucket] * n, pa.int32()), pa.array([blob] * n, pa.binary())], ["did", "rk", "lo", "hi", "bucket", "blob"])
+
+
+_OUT = "did long, rk long, lo long, hi long, bucket int, blob binary"
 
 
 def _resolve(blobs: list[bytes], k: int) -> pa.RecordBatch | None:
@@ -185,21 +236,28 @@ def _resolve(blobs: list[bytes], k: int) -> pa.RecordBatch | None:
 
 
 def _gather(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket; one bucket is held at a time."""
-    now, held = None, []
+    """Rows come sorted by bucket and lane; one bucket or lane is held at a time. Buckets give ranges, lanes also a blob for their bucket."""
+    now, held, thin = None, [], None
+
+    def close():
+        if held and (r := _resolve(held, k)) is not None:
+            yield r
+        if thin is not None:
+            yield _ranges([], [], [], [], now[0], thin.blob())
+
     for b in batches:
-        for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for bucket, lane, blob in zip(*(b.column(i).to_pylist() for i in range(3))):
             if bucket < 0:
                 yield _ranges(*_unpack(blob, 4)[0])
                 continue
-            if bucket != now and held:
-                if (r := _resolve(held, k)) is not None:
-                    yield r
-                held = []
-            now = bucket
-            held.append(blob)
-    if held and (r := _resolve(held, k)) is not None:
-        yield r
+            if (bucket, lane) != now:
+                yield from close()
+                now, held, thin = (bucket, lane), [], _Thin() if lane >= 0 else None
+            if thin is None:
+                held.append(blob)
+            elif (r := thin.add(blob)).num_rows:
+                yield r
+    yield from close()
 
 
 def repeated_ranges(d: DataFrame, k: int = K) -> DataFrame:
@@ -215,8 +273,15 @@ def repeated_ranges(d: DataFrame, k: int = K) -> DataFrame:
     heavy = np.array(sorted(x["m"] for x in hot), np.int64).view(U64)
     buckets = max(4 * tasks, total // BUCKET_WINDOWS + 1)
     dealt = d.mapInArrow(lambda it: _deal(it, k, buckets, heavy), _ROW)
-    lanes = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    return lanes.mapInArrow(lambda it: _gather(it, k), "did long, rk long, lo long, hi long")
+    ranges = ("did", "rk", "lo", "hi")
+    lanes = dealt.repartition(tasks, "bucket", "lane").sortWithinPartitions("bucket", "lane")
+    out = lanes.mapInArrow(lambda it: _gather(it, k), _OUT)
+    if not len(heavy):
+        return out.select(*ranges)
+    out = cut(out)
+    # What the lanes left of the hot buckets.
+    hot = out.where("blob IS NOT NULL").select("bucket", F.lit(-1).alias("lane"), "blob").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    return out.where("blob IS NULL").select(*ranges).unionByName(hot.mapInArrow(lambda it: _gather(it, k), _OUT).select(*ranges))
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,6 +47,42 @@ def test_substring_brute(spark):
     assert substring_digest(docs(spark, texts)) == brute_substring(list(enumerate(texts)))
 
 
+def test_substring_hot_passages(spark, monkeypatch):
+    """One passage in most documents, over many small steps, lanes and partitions; ids that repeat tie."""
+    rnd = random.Random(7)
+    make = lambda n: " ".join(f"w{rnd.randrange(5000)}" for _ in range(n))
+    hot = make(70)
+    pairs = [(i if i % 11 else i // 2, make(rnd.randrange(0, 30)) + " " + hot[rnd.choice((0, 0, 40)) :] + " " + make(rnd.randrange(0, 25))) for i in range(300)] + [(None, hot), (5, hot), (5, hot + " x")]
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(16)
+    hots = []
+    monkeypatch.setattr(substring, "cut", lambda x, f=substring.cut: hots.append(x.columns) or f(x))
+    assert substring_digest(df) == brute_substring(pairs)
+    assert ["did", "rk", "lo", "hi", "bucket", "blob"] in hots  # the lanes were used
+
+
+def test_thin_keeps_the_earliest():
+    """Equal pieces of a lane: the earliest and its ties stay, all others are ranges; nothing is lost."""
+    import numpy as np
+
+    rnd = random.Random(3)
+    pieces = [b"a b c", b"d e", b"f"]
+    rows = [(rnd.randrange(-3, 4), rnd.randrange(3), rnd.randrange(2), rnd.choice(pieces)) for _ in range(200)]
+    thin, gone = substring._Thin(), []
+    for i in range(0, 200, 20):
+        part = rows[i : i + 20]
+        cols = [np.array([f(r) for r in part], np.int64) for f in (lambda r: r[0], lambda r: r[2], lambda r: r[1], lambda r: len(r[3].split()))]
+        gone += [tuple(x.values())[:4] for x in thin.add(substring._pack(cols, b" ".join(r[3] for r in part))).to_pylist()]
+    (did, rk, pos, words), text = substring._unpack(thin.blob(), 4)
+    left = Counter()
+    at, all_words = 0, text.split()
+    for d, r, q, n in zip(did.tolist(), rk.tolist(), pos.tolist(), words.tolist()):
+        left[(d, q, r, b" ".join(all_words[at : at + n]))] += 1
+        at += n
+    first = {p: min((d, q) for d, q, _, x in rows if x == p) for p in pieces}
+    assert set(left) == {(d, q, r, p) for d, q, r, p in rows if (d, q) == first[p]} and max(left.values()) == 1
+    assert set(gone) == {(d, r, q, q + len(p.split())) for d, q, r, p in rows if (d, q) > first[p]}
+
+
 def test_substring_odd(spark):
     assert substring_digest(odd(spark)) == brute_substring([(r[0], r[1]) for r in ODD])
     assert substring.dedup_substrings(odd(spark).limit(0)).count() == 0

@@ -3,7 +3,12 @@
 Row order is part of some answers (first and last, windows, limits). Where a pipeline reads it, a hidden
 column ``__ord`` carries it: monotone ids at the source, ``(left, right)`` after a join, the first
 row of a group. A sort stays pending until something reads the order, so that a sort before a limit is a top-n and
-a sort at the end is one range exchange; no global window ever runs.
+a sort at the end is one range exchange. A window without partitions is cut into ranges of its order: every range is
+scanned by itself and takes over what the ranges before it sum up to, so no task holds the table; the ranges are
+written once, to the shared folder, as Spark would draw others when it computes them again.
+
+Ids at the source rise within a file split; over several files they follow Spark's order of splits, so the first and
+the last row of such a table are those of that order.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ class State:
     schema: dict[str, Field]
     ordered: bool = False
     pending: tuple[Column, ...] = ()
+    #: Only the schema is wanted.
+    dry: bool = False
 
 
 def q(name: str) -> Column:
@@ -214,11 +221,18 @@ def window(st: State, s: S.Window) -> State:
     if s.as_ in st.schema:
         raise AggError(f"{s.as_} is already a column")
     st = settled(numbered(st))
-    part = W.partitionBy(*[q(p) for p in s.partition_by])
+    ranged = not s.partition_by and not st.dry and (keys or s.fn not in ("rank", "denseRank", "competitionRank"))
+    if ranged:
+        st, sums = ranges(st, s, keys)
+    part = W.partitionBy(*([RANGE] if ranged else [q(p) for p in s.partition_by]))
     w = part.orderBy(*keys, ORD)
     ranks = part.orderBy(*(keys or (F.lit(0),)))
     run, roll = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(-2, 0)
-    if not reads:
+    if not reads and not s.partition_by and not keys and s.fn in ("rank", "denseRank", "competitionRank"):
+        c, f = F.lit(1), Field("int")  # all rows tie
+    elif not reads and ranged and s.fn == "ntile":
+        c, f = F.row_number().over(w), Field("int")  # tiles are cut once all rows are counted
+    elif not reads:
         c = {"rowNumber": lambda: F.row_number().over(w), "rank": lambda: F.dense_rank().over(ranks), "denseRank": lambda: F.dense_rank().over(ranks), "competitionRank": lambda: F.rank().over(ranks), "ntile": lambda: F.ntile(S.slot(s.n)).over(w)}[s.fn]()
         f = Field("int")
     else:
@@ -240,7 +254,86 @@ def window(st: State, s: S.Window) -> State:
             c, f = F.sum(n).over(roll).cast(spark_type(total.type)), total
         else:
             c, f = F.avg(x.col.cast("double")).over(roll), Field("float", x.unit)
-    return replace(st, df=st.df.withColumn(s.as_, c), schema=st.schema | {s.as_: f})
+    d = st.df.withColumn(s.as_, c)
+    return replace(st, df=carried(d, s, f, sums) if ranged else d, schema=st.schema | {s.as_: f})
+
+
+RANGE, HALO = "__range", "__halo"
+
+
+def ranges(st: State, s: S.Window, keys: tuple[Column, ...]) -> tuple[State, DataFrame]:
+    """Rows in numbered ranges of the window's order, and a row per range of what the ranges before it come to.
+
+    Functions that look at rows nearby get those of the ranges beside them too, marked as a halo.
+    """
+    from pyspark.sql import Window as W
+
+    from quernix.sources.snapshots import folder
+
+    spark = st.df.sparkSession
+    ties = s.fn in ("rank", "denseRank", "competitionRank")
+    # Ties of a rank stay in one range.
+    cut = st.df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, *([] if ties else [ORD]))
+    path = folder(spark)
+    cut.withColumn(RANGE, F.spark_partition_id()).write.parquet(path)
+    d = spark.read.schema(cut.withColumn(RANGE, F.spark_partition_id()).schema).parquet(path)
+    each = [F.count("*").alias("n")]
+    if s.fn == "denseRank" or s.fn == "rank":
+        each.append(F.count_distinct(F.struct(*[q(S.slot(k)) for k, _ in s.order_by])).alias("v"))
+    elif s.fn in ("cumulSum", "cumulMax", "cumulMin"):
+        x = q(s.of) if is_decimal(st.schema[s.of].type) or s.fn != "cumulSum" else q(s.of).cast("double")
+        each.append({"cumulSum": F.sum, "cumulMax": F.max, "cumulMin": F.min}[s.fn](x).alias("v"))
+    else:
+        each.append(F.count("*").alias("v"))
+    # One row per range from here on.
+    by = W.partitionBy(F.lit(0)).orderBy(RANGE)
+    before = by.rowsBetween(W.unboundedPreceding, -1)
+    over = {"cumulMax": F.max, "cumulMin": F.min}.get(s.fn, F.sum)
+    sums = d.groupBy(RANGE).agg(*each)
+    sums = sums.select(RANGE, over("v").over(before).alias("__before"), F.sum("n").over(W.partitionBy(F.lit(0))).alias("__total"), F.row_number().over(by).alias("__i"))
+    if s.fn in ("lag", "lead", "rollingSum", "rollingMean"):
+        ahead = s.fn == "lead"
+        near = 1 if s.fn in ("lag", "lead") else 2
+        back = W.partitionBy(RANGE).orderBy(*[_turned(c) for c in s.order_by], q(ORD).desc()) if not ahead else W.partitionBy(RANGE).orderBy(*keys, ORD)
+        edge = d.withColumn("__e", F.row_number().over(back)).where(F.col("__e") <= near)
+        # Every range listed has a row, so the next ``near`` of them are all that an edge can reach.
+        at = sums.select(RANGE, "__i")
+        shift = F.explode(F.array(*[F.lit(-j if ahead else j) for j in range(1, near + 1)]))
+        edge = edge.join(F.broadcast(at), RANGE).withColumn("__far", shift)
+        to = at.select(F.col(RANGE).alias("__to"), F.col("__i").alias("__at"))
+        pick = W.partitionBy("__to").orderBy(F.abs("__far"), "__e")
+        halo = edge.join(F.broadcast(to), F.col("__i") + F.col("__far") == F.col("__at")).withColumn("__k", F.row_number().over(pick)).where(F.col("__k") <= near)
+        halo = halo.drop(RANGE, "__e", "__k", "__i", "__far", "__at").withColumnRenamed("__to", RANGE)
+        d = d.withColumn(HALO, F.lit(False)).unionByName(halo.withColumn(HALO, F.lit(True)))
+    return replace(st, df=d), sums
+
+
+def _turned(by) -> Column:
+    k, direction = by
+    c = q(S.slot(k))
+    return c.desc_nulls_first() if direction == "asc" else c.asc_nulls_first()
+
+
+def carried(d: DataFrame, s: S.Window, f: Field, sums: DataFrame) -> DataFrame:
+    """A range's own values of a window function put behind those of the ranges before it."""
+    if HALO in d.columns:
+        return d.where(~F.col(HALO)).drop(HALO, RANGE)
+    own, kind = q(s.as_), spark_type(f.type)
+    before, total = F.col("__before"), F.col("__total")
+    if s.fn == "cumulSum":
+        value = own + F.coalesce(before.cast(kind), F.lit(0).cast(kind))
+    elif s.fn in ("cumulMax", "cumulMin"):
+        value = (F.greatest if s.fn == "cumulMax" else F.least)(own, before)
+    elif s.fn == "ntile":
+        tiles, at = F.lit(S.slot(s.n)).cast("long"), own + F.coalesce(before, F.lit(0))
+        small, large = F.floor(total / tiles), total % tiles
+        wide = large * (small + 1)
+        value = F.when(at <= wide, F.floor((at - 1) / (small + 1)) + 1).otherwise(large + F.floor((at - 1 - wide) / F.greatest(small, F.lit(1))) + 1)
+    else:
+        value = own + F.coalesce(before, F.lit(0))
+    rest = [c for c in d.columns if c not in (s.as_, RANGE)]
+    j = d.join(F.broadcast(sums), RANGE)
+    return j.select(*[q(c) for c in rest], value.cast(kind).alias(s.as_))
 
 
 #: A pivot's columns are data; more of them than this is refused rather than planned.
@@ -418,7 +511,7 @@ def run(spark: SparkSession, steps, table, *, tables: dict | None = None, env: d
 
 def schema_walk(spark: SparkSession, steps, schema: dict[str, Field], *, tables: dict[str, dict[str, Field]] | None = None, env: dict | None = None, clock: dict | None = None) -> tuple[dict[str, Field], bool]:
     """(output schema, closed) without data; a pivot or an unknown source opens it."""
-    empty = lambda s: State(spark.createDataFrame([], ", ".join(f"`{n}` {spark_type(f.type) if f.type != 'opaque' else 'binary'}" for n, f in s.items())), s)
+    empty = lambda s: State(dry=True, df=spark.createDataFrame([], ", ".join(f"`{n}` {spark_type(f.type) if f.type != 'opaque' else 'binary'}" for n, f in s.items())), schema=s)
     known = {n: empty(s) for n, s in (tables or {}).items()}
     closed = not any(isinstance(s, S.Pivot) for s in steps) and S.sources_of(steps) <= set(known)
     bound = S.bind(steps, env, clock)

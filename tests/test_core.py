@@ -100,6 +100,26 @@ def test_windows_restore_order(spark):
         run(spark, (S.Window("rowNumber", "s"),), t)
 
 
+@pytest.mark.parametrize("fn_, n", [("rowNumber", None), ("rank", None), ("denseRank", None), ("competitionRank", None), ("ntile", 7), ("ntile", 300), ("lag", None), ("lead", None), ("cumulSum", None), ("cumulMax", None), ("cumulMin", None), ("rollingSum", None), ("rollingMean", None)])
+def test_windows_without_partitions_are_cut_into_ranges(spark, fn_, n):
+    """Against one window over all rows, with ties, nulls and fewer rows than ranges."""
+    from pyspark.sql import Window as W
+
+    df = spark.range(0, 230, 1, 5).selectExpr("id", "CASE WHEN id % 13 <> 0 THEN CAST(id * 37 % 50 AS INT) END AS k", "CASE WHEN id % 7 <> 0 THEN CAST(id * 11 % 29 AS DOUBLE) END AS v")
+    for rows in (df, df.limit(3), df.limit(0)):
+        by = (("k", "desc"), ("id", "asc")) if fn_ not in ("rank", "denseRank", "competitionRank") else (("k", "asc"),)
+        out = run(spark, (S.Window(fn_, "w", "v", (), by, n),), rows)
+        key = [F.col("k").desc_nulls_last(), F.col("id")] if len(by) == 2 else [F.col("k").asc_nulls_last()]
+        w = W.orderBy(*key)
+        run_, roll = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(-2, 0)
+        one_ = {
+            "rowNumber": lambda: F.row_number().over(w), "rank": lambda: F.dense_rank().over(w), "denseRank": lambda: F.dense_rank().over(w), "competitionRank": lambda: F.rank().over(w), "ntile": lambda: F.ntile(n).over(w),
+            "lag": lambda: F.lag("v").over(w), "lead": lambda: F.lead("v").over(w), "cumulSum": lambda: F.coalesce(F.sum("v").over(run_), F.lit(0.0)), "cumulMax": lambda: F.max("v").over(run_), "cumulMin": lambda: F.min("v").over(run_),
+            "rollingSum": lambda: F.sum("v").over(roll), "rollingMean": lambda: F.avg("v").over(roll),
+        }[fn_]()
+        assert {r["id"]: r["w"] for r in out.collect()} == {r["id"]: r["w"] for r in rows.withColumn("w", one_).collect()} and out.columns == ["id", "k", "v", "w"]
+
+
 def test_pivot_and_unpivot(spark):
     p = got(spark, [S.Pivot(("dept",), "salary", "name", "count")])
     assert p == [("eng", 1, 1, 0), ("sales", 0, 0, 2)]

@@ -66,10 +66,17 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def train(x: np.ndarray, y: np.ndarray, langs: list[str]) -> Model:
-    """SGD on average embeddings; every tenth row of the sample is held back for calibration."""
+def dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Shares of the buckets, a row each; rows are (buckets, counts)."""
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for k, (at, n) in enumerate(rows):
+        x[k, at] = n / max(1, n.sum())
+    return x
+
+
+def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[str]) -> Model:
+    """SGD on average embeddings; every tenth row of the sample is held back for calibration. Rows stay sparse; a batch at a time is made dense."""
     rng = np.random.default_rng(SEED)
-    x = x / np.maximum(1, x.sum(1, keepdims=True))
     back = np.arange(len(x)) % 10 == 9 if len(x) >= 20 else np.zeros(len(x), bool)
     fit = np.flatnonzero(~back)
     e = rng.normal(0, 0.1, (BUCKETS, DIMS)).astype(np.float32)
@@ -78,17 +85,18 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str]) -> Model:
     for epoch in range(EPOCHS):
         rate = 4.0 * (1 - epoch / EPOCHS)
         for i in np.array_split(rng.permutation(fit), max(1, len(fit) // 16)):
-            v = x[i] @ e
+            xs = dense([x[j] for j in i.tolist()])
+            v = xs @ e
             z = v @ w + b
             p = np.exp(z - z.max(1, keepdims=True))
             d = (p / p.sum(1, keepdims=True) - one[y[i]]) / len(i)
             dv = d @ w.T
             w -= rate * (v.T @ d)
             b -= rate * 0.1 * d.sum(0)
-            e -= 16 * rate * (x[i].T @ dv)
+            e -= 16 * rate * (xs.T @ dv)
     m = Model(langs, (e @ w).astype(np.float64), b.astype(np.float64))
     held = np.flatnonzero(back) if back.any() else fit
-    z = x[held] @ m.table + m.bias
+    z = np.concatenate([dense([x[j] for j in part.tolist()]) @ m.table + m.bias for part in np.array_split(held, len(held) // 256 + 1)])
     loss = lambda t: -np.mean((z / t)[np.arange(len(held)), y[held]] - np.log(np.exp((z - z.max(1, keepdims=True)) / t).sum(1)) - z.max(1) / t)
     m.temperature = float(min(np.geomspace(0.05, 5, 60), key=loss))
     p = np.exp((z - z.max(1, keepdims=True)) / m.temperature)
@@ -113,7 +121,6 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     for r in langs:
         share = F.when(F.col(lang_col) == r["l"], int(min(1.0, per_language / r["n"]) * (1 << 30))).otherwise(share)
     d = d.where(slot < share).select(F.col(lang_col).alias("l"), F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t"))
-
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [grams(t.as_py()) for t in b.column(2)]
@@ -121,14 +128,14 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             arrays = [b.column(0), b.column(1), pa.array([a.astype("<i4").tobytes() for a in at], pa.binary()), pa.array([g[a].astype("<i4").tobytes() for g, a in zip(got, at)], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["l", "i", "at", "n"])
 
-    # The sample is bounded by rows, a row by the number of buckets; twice the quota is a hard bound.
-    rows = sorted(d.mapInArrow(features, "l string, i long, at binary, n binary").limit(2 * per_language * len(langs)).collect(), key=lambda r: (r["i"], r["l"]))
+    # The share bounds the sample but for ids that repeat; twice the quota is a hard bound, and which rows it keeps
+    # depends on them alone. A row is bounded by the number of buckets.
+    f = d.mapInArrow(features, "l string, i long, at binary, n binary")
+    rows = sorted(f.orderBy(F.xxhash64("i", "l", "at", "n")).limit(2 * per_language * len(langs)).collect(), key=lambda r: (r["i"] is not None, r["i"] or 0, r["l"], r["at"], r["n"]))
     if not rows:
         return None
     names = sorted({r["l"] for r in rows})
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for k, r in enumerate(rows):
-        x[k, np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["n"], "<i4")
+    x = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in rows]
     return train(x, np.array([names.index(r["l"]) for r in rows]), names)
 
 

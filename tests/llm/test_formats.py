@@ -428,11 +428,34 @@ def test_quality(spark):
 
 def test_host_verdicts_shrink(spark):
     hosts = [("good", False)] * 50 + [("bad", True)] * 50 + [("tiny", True)] + [("ok", False)] * 200
-    m = spark.createDataFrame(hosts, "host string, failed boolean")
-    v = {r["host"]: r for r in rows(quality.host_verdicts(m))}
+    m = spark.createDataFrame(hosts, "host string, fails_short boolean")
+    v = {r["host"]: r for r in rows(quality.host_verdicts(m, rules=("short",)))}
     assert not v["bad"]["host_ok"] and v["good"]["host_ok"] and v["good"]["rate"] < v["tiny"]["rate"] < 1
 
 
+def test_host_verdicts_by_rule(spark):
+    """Shrunk rates of every rule against the same formula in plain Python; the worst rule decides."""
+    import random
+
+    rnd = random.Random(4)
+    share = {"a": (0.1, 0.9), "b": (0.5, 0.2), "c": (0.0, 0.0), "d": (0.7, 0.1)}
+    recs = [(h, rnd.random() < p, rnd.random() < q) for h, (p, q) in share.items() for _ in range(rnd.randrange(20, 90))] + [(None, True, True)]
+    m = spark.createDataFrame(recs, "host string, fails_short boolean, fails_symbols boolean")
+    got = {r["host"]: (r["n_docs"], r["n_failed"], r["rule"], round(r["rate"], 9), r["host_ok"]) for r in rows(quality.host_verdicts(m, rules=("short", "symbols")))}
+    want = {}
+    for i, rule in enumerate(("short", "symbols"), 1):
+        by = {h: [x[i] for x in recs if x[0] == h] for h in share}
+        n, f = sum(map(len, by.values())), sum(map(sum, by.values()))
+        mean = f / n
+        between = sum(len(v) * (sum(v) / len(v)) ** 2 for v in by.values()) / n - mean**2 - mean * (1 - mean) * len(by) / n
+        size = min(max(mean * (1 - mean) / between - 1, 2), 1000) if between > 0 else 1000
+        for h, v in by.items():
+            rate = (sum(v) + mean * size) / (len(v) + size)
+            want[h] = max(want.get(h, (-1, 0, "")), (rate, sum(v), rule))
+    assert got == {h: (sum(x[0] == h for x in recs), f, rule, round(rate, 9), rate <= 0.6) for h, (rate, f, rule) in want.items()}
+    assert not got["a"][4] and got["c"][4]
+
+
 def test_language(spark):
     sf = SF.replace("0.001", "0.01")
     truth = {r["doc_id"]: r for r in rows(spark.read.parquet(f"{sf}/documents.parquet"))}
@@ -454,3 +477,17 @@ def test_language_odd(spark):
     assert language.drop_rejected(d).columns == d.columns
 
 
+def test_language_rejects(spark):
+    """Text of no learned language, and what is und, goes; the threshold is what nearly all right answers reach; the sample is reproducible."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(d)
+    again = language.fit(d.repartition(7))
+    assert (model.table == again.table).all() and model.threshold == again.threshold
+    src = [r for r in rows(d) if r["text"] and r["lang"] and language.has_letter(r["text"])]
+    got = [(r["lang"], *model.predict(r["text"].encode())) for r in src]
+    kept = [score >= model.threshold for lang, pred, score in got if pred == lang]
+    assert sum(kept) / len(kept) > 0.97 and 0 < model.threshold <= language.MAX_THRESHOLD
+    odd_texts = ["zxq wkj vvq jjx qqz kxw " * 20, "12 34 !!", None, "", src[0]["text"]]
+    df = spark.createDataFrame([(10**6 + i, t, None, "x", 1) for i, t in enumerate(odd_texts)], d.schema)
+    left = {r["doc_id"] for r in rows(language.drop_rejected(d.unionByName(df)))}
+    assert left & {10**6 + i for i in range(5)} <= {10**6, 10**6 + 4} and 10**6 + 4 in left

@@ -32,3 +32,4 @@ DeltaError = _kind("DeltaError", "A change set that does not fit its tables.")
 EditRejected = _kind("EditRejected", "A column edit that cannot be applied or undone.")
 RegistryError = _kind("RegistryError", "A query that is not registered or does not match its declaration.")
 TreeError = _kind("TreeError", "A pipeline tree edit that does not apply.")
+LinAlgRefused = _kind("LinAlgRefused", "Shapes that do not fit, or a triangle that cannot be solved.")

@@ -59,11 +59,16 @@ def kmeans_step(st: State, s: S.KMeans) -> State:
         d = beside(d, groups, {g: [[m for m, _ in v], [t for _, t in v]] for g, v in scale.items()}, "__sc")
         d = d.withColumns({f"__f{j}": F.when(F.col("__sc")[1][j] > 0, (F.col(f"__f{j}") - F.col("__sc")[0][j]) / F.col("__sc")[1][j]).otherwise(0.0) for j in range(len(x))}).drop("__sc")
     best: dict[tuple, dict] = {}
-    for restart in range(s.restarts):
-        centres = seeded(d, groups, x, k, seed, restart, gk)
-        for g, m in lloyd(d, groups, x, centres, k, s.max_iterations, gk).items():
-            if g not in best or m["ss"] < best[g]["ss"] * (1 - 1e-12):
-                best[g] = m
+    # Every pass reads the features again; held by the executors (spilling), and computed anew where one is lost.
+    held = d.select(*groups, *x, ORD).persist()
+    try:
+        for restart in range(s.restarts):
+            centres = seeded(held, groups, x, k, seed, restart, gk)
+            for g, m in lloyd(held, groups, x, centres, k, s.max_iterations, gk).items():
+                if g not in best or m["ss"] < best[g]["ss"] * (1 - 1e-12):
+                    best[g] = m
+    finally:
+        held.unpersist()
     schema = outputs.kmeans_schema(s, st.schema)
     own = lambda g: g if s.group_by else ()
     if s.output == "assignments":

@@ -40,7 +40,8 @@ LINKS = {
 }
 FIXED_DISPERSION = ("binomial", "poisson", "negativeBinomial")
 ERRORS = ("classical", "hc0", "hc1", "hc2", "hc3")
-MAX_LEVELS = 1000
+#: Levels of a factor are columns of a dense triangle on the driver; more are refused.
+MAX_LEVELS = 5000
 
 
 @dataclass
@@ -290,7 +291,19 @@ def each_group(rows: DataFrame, s: S.Fit, p: int, reduce, width: int) -> dict[tu
 def fit_models(st: State, s: S.Fit) -> tuple[Design, dict[str, list[str]], dict[tuple, Model], S.Fit]:
     s = check(s, st.schema)
     d, levels = design(st, s)
-    rows, p = rows_of(st, s, d), len(d.terms)
+    rows, once = rows_of(st, s, d), s.family == "gaussian" and s.link == "identity" and s.std_errors == "classical"
+    if once:
+        return d, levels, passes(rows, s, d), s
+    # Every iteration reads the rows again; held by the executors (spilling), and computed anew where one is lost.
+    rows = rows.persist()
+    try:
+        return d, levels, passes(rows, s, d), s
+    finally:
+        rows.unpersist()
+
+
+def passes(rows: DataFrame, s: S.Fit, d: Design) -> dict[tuple, Model]:
+    p = len(d.terms)
     ridge = np.full(p, float(s.ridge))
     if s.intercept:
         ridge[0] = 0
@@ -399,7 +412,7 @@ def fit_models(st: State, s: S.Fit) -> tuple[Design, dict[str, list[str]], dict[
                     models[k].alternations = alternation + 1
     if s.std_errors != "classical":
         robust(rows, s, p, models)
-    return d, levels, models, s
+    return models
 
 
 def robust(rows: DataFrame, s: S.Fit, p: int, models: dict[tuple, Model]) -> None:

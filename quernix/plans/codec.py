@@ -214,6 +214,8 @@ def _cell(d: dict) -> E.Lit:
     if kind == "int":
         return E.Lit("int", _int(v, "an Int"))
     if kind == "bigint":
+        if isinstance(v, bool) or not re.fullmatch(r"0|-?[1-9]\d*", str(v)) or not -(2**63) <= int(v) < 2**63:
+            raise CodecError(f"not a BigInt: {v}")
         return E.Lit("bigint", int(v))
     if kind == "float":
         if isinstance(v, bool) or not isinstance(v, (int, float)):
@@ -232,9 +234,12 @@ def _cell(d: dict) -> E.Lit:
             raise CodecError(f"not a date: {v}") from None
     if kind == "timestamp":
         try:
-            return E.Lit("timestamp", dt.datetime.fromisoformat(v))
+            at = dt.datetime.fromisoformat(v)
         except (TypeError, ValueError):
             raise CodecError(f"not a timestamp: {v}") from None
+        if at.isoformat() != v:
+            raise CodecError(f"not a canonical timestamp: {v}")
+        return E.Lit("timestamp", at)
     if not isinstance(v, bool if kind == "bool" else str):
         raise CodecError(f"an ill-typed {t}")
     return E.Lit(kind, v)

@@ -107,3 +107,64 @@ def pipeline_hash(t: Tree) -> str:
 def content_address(t: Tree, id: str) -> str:
     """An address of everything up to a node."""
     return codec.pipeline_hash(lower(t)[: _at(t, id) + 1])
+
+
+def derive(before: Tree, after: Tree) -> list[tuple]:
+    """Edits that turn one tree into the other: nodes are matched by id; unrelated trees are removed and inserted whole.
+
+    After the edits the steps are those of ``after``; nodes that both have keep their ids.
+    """
+    edits: list[tuple] = []
+    known, now = {n.id: n for n in after.nodes}, before
+
+    def do(*edit) -> None:
+        nonlocal now
+        edits.append(edit)
+        now = apply(now, edit)
+
+    for n in before.nodes:
+        if n.id not in known:
+            do("remove", n.id)
+    last = None
+    for i, n in enumerate(after.nodes):
+        have = next((m for m in now.nodes if m.id == n.id), None)
+        if have is None:
+            do("insertAfter", last, n.step)
+        else:
+            if now.nodes[i].id != n.id:
+                do("move", n.id, last)
+            if have.step != n.step:
+                do("update", n.id, n.step)
+        last = now.nodes[i].id
+    return edits
+
+
+def encode_edit(edit: tuple) -> str:
+    """Canonical text of an edit."""
+    return codec.dumps([codec.encode_step(x) if isinstance(x, S.Step) else x for x in edit])
+
+
+def decode_edit(text: str) -> tuple:
+    e = codec.loads(text)
+    if not isinstance(e, list) or not e or e[0] not in EDITS:
+        raise EditRejected(f"no edit; there are {', '.join(EDITS)}")
+    return tuple(codec.decode_step(x) if isinstance(x, dict) else x for x in e)
+
+
+@dataclass(frozen=True)
+class Stream:
+    """How a log of edits is applied, written and read."""
+
+    spark: SparkSession | None = None
+    schema: dict[str, Field] | None = None
+
+    def apply(self, t: Tree, edit: tuple) -> Tree:
+        return apply(t, edit, self.spark, self.schema)
+
+    encode = staticmethod(encode_edit)
+    decode = staticmethod(decode_edit)
+
+    def replay(self, t: Tree, log: list[str]) -> Tree:
+        for text in log:
+            t = self.apply(t, decode_edit(text))
+        return t

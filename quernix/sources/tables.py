@@ -45,6 +45,18 @@ def to_json(df: DataFrame, limit: int = 100_000) -> str:
     return codec.encode_table(S.Embedded(schema, tuple(map(tuple, rows))))
 
 
+def aggregate_cells(spark: SparkSession, fn: str, kind: str, cells: list):
+    """One aggregate of a list of cells of one type; of none, count is 0 and the others are null."""
+    rows = tuple((c,) for c in cells) or ((None,),)
+    out = run(spark, (S.GroupBy((), (S.Agg("v", fn, "c"),)),), S.Embedded((("c", kind),), rows)).first()["v"]
+    return out
+
+
+def eval_in_row(spark: SparkSession, e, schema: tuple[tuple, ...], row: tuple, env: dict | None = None):
+    """The value of an expression in one row."""
+    return run(spark, (S.Derive("__value", e),), S.Embedded(tuple(schema), (tuple(row),)), env=env).first()["__value"]
+
+
 @dataclass
 class Prepared:
     """A source that is read once and used by many pipelines."""

@@ -240,6 +240,7 @@ def test_codec_round_trip_and_hash(spark):
 @pytest.mark.parametrize("text", [
     '[{"$type":"nope"}]', '[{"$type":"filter"}]', '[{"$type":"limit","n":1.5}]', '[{"$type":"limit","n":3000000000}]', '[{"$type":"sort","by":[],"by":[]}]', "{}", "[",
     '[{"$type":"join","how":"cross","on":[],"source":{"ref":"x"}}]', '[{"$type":"derive","name":"a","expr":{"$type":"lit","cell":{"$type":"Date","value":"2020-1-2"}}}]',
+    '[{"$type":"filter","pred":{"$type":"lit","cell":{"$type":"BigInt","value":"1x"}}}]', '[{"$type":"filter","pred":{"$type":"lit","cell":{"$type":"BigInt","value":"9223372036854775808"}}}]', '[{"$type":"filter","pred":{"$type":"lit","cell":{"$type":"Timestamp","value":"2020-01-02"}}}]',
     '[{"$type":"kmeans","features":[],"k":2,"seed":"007"}]', '[{"$type":"filter","pred":{"$type":"in","expr":{"$type":"col","name":"a"}}}]', '[{"$type":"groupBy","keys":[],"by":[],"aggs":[]}]',
 ])
 def test_decoder_refuses(text):
@@ -286,6 +287,78 @@ def test_numerics():
     assert r.below(n) == second % n
 
 
+def test_linear_algebra(spark):
+    from quernix.functions import linalg as L
+
+    rng = np.random.default_rng(3)
+    a, b = L.Matrix(rng.normal(size=(6, 4))), L.Matrix(rng.normal(size=(4, 3)))
+    assert L.gemm(a, b).values == pytest.approx(a.values @ b.values) and L.gram(a).values == pytest.approx(a.values.T @ a.values)
+    assert L.gemm(a, L.identity(4)) == a and a.transpose().transpose() == a and L.gemv(a, [1, 0, 0, 0]) == pytest.approx(a.column(0))
+    assert L.of_columns([a.column(j) for j in range(4)]) == a and L.of_columns([]).shape == (0, 0) and not a.values.flags.writeable
+    assert L.dot([1, 2], [3, 4]) == 11 and L.add([1, 2], [3, 4]).tolist() == [4, 6] and L.sub([1, 2], [3, 5]).tolist() == [-2, -3] and L.scale(2, [1]).tolist() == [2]
+    assert L.norm2([3e200, 4e200]) == pytest.approx(5e200) and L.norm2([3, 4]) == 5 and L.norm2([3e-200, 4e-200]) == pytest.approx(5e-200) and L.norm2([]) == 0 and math.isnan(L.norm2([math.nan, 1]))
+    q, r = L.householder(a)
+    assert q.values @ r.values == pytest.approx(a.values) and (np.diag(r.values) >= 0).all() and L.gram(q).values == pytest.approx(np.eye(4))
+    x = L.solve_triangular(r, np.ones(4))
+    assert r.values @ x == pytest.approx(np.ones(4)) and r.values.T @ L.solve_triangular(r.transpose(), np.ones(4), lower=True) == pytest.approx(np.ones(4))
+    thin = L.of_columns([a.column(0), a.column(1), a.column(0) * 2 - a.column(1), 1000 * a.column(2)])
+    q, r, order, rank = L.pivoted(thin)
+    assert rank == 3 and order[0] == 3 and q.values @ r.values == pytest.approx(thin.values[:, order]) and L.pivoted(L.init(3, 2, lambda i, j: 0.0))[3] == 0
+    c, s_, h = L.givens(3.0, 4.0)
+    assert (c * 3 + s_ * 4, c * 4 - s_ * 3) == pytest.approx((h, 0.0)) and L.givens(0.0, 0.0) == (1.0, 0.0, 0.0)
+    odd = L.Matrix(np.array([[1.5, math.nan], [-math.inf, math.inf]]))
+    assert L.encode(L.decode(L.encode(odd))) == L.encode(odd) and L.decode(L.encode(a)) == a
+    for text in ("{}", '{"rows":1,"cols":2,"data":[1]}', '{"rows":true,"cols":1,"data":[1]}', "x"):
+        with pytest.raises(X.CodecError):
+            L.decode(text)
+    for f in (lambda: L.gemm(b, a), lambda: L.dot([1], [1, 2]), lambda: L.gemv(a, [1]), lambda: a.column(4), lambda: L.init(-1, 2, max), lambda: L.solve_triangular(L.init(2, 2, lambda i, j: 0.0), [1, 1])):
+        with pytest.raises(X.LinAlgRefused):
+            f()
+    t = spark.createDataFrame([(1.0, 2), (3.0, None), (-1.0, 5)], "x double, y int")
+    assert L.table_gram(t, ["x", "y"]).values.tolist() == [[2.0, -3.0], [-3.0, 29.0]]
+
+
+def test_least_squares_accumulator():
+    from quernix.functions import linalg as L
+
+    rng = np.random.default_rng(5)
+    x, w = np.column_stack([np.ones(50), rng.normal(size=(50, 2))]), rng.uniform(0.5, 2, 50)
+    y = x @ [1.0, 2.0, -3.0] + rng.normal(size=50)
+    whole = L.Accumulator(3).add(x, y, w)
+    parts = L.Accumulator(3).add(x[:20], y[:20], w[:20]).merge(L.Accumulator(3).add(x[20:], y[20:], w[20:]))
+    want = np.linalg.lstsq(np.sqrt(w)[:, None] * x, np.sqrt(w) * y, rcond=None)
+    for acc in (whole, parts, L.Accumulator.decode(parts.encode())):
+        got = acc.fit()
+        assert got["coefficients"] == pytest.approx(want[0]) and got["rss"] == pytest.approx(float(want[1][0])) and got["n"] == 50 and got["kept"] == [0, 1, 2]
+    assert np.isnan(L.Accumulator(2).add(x[:, [1, 1]], y).fit()["coefficients"]).tolist() == [False, True]
+    with pytest.raises(X.LinAlgRefused):
+        whole.merge(L.Accumulator(2))
+    with pytest.raises(X.CodecError):
+        L.Accumulator.decode('{"n":1,"p":3,"triangle":{"rows":1,"cols":1,"data":[0]}}')
+
+
+def test_cells_and_rows(spark):
+    agg = lambda fn_, cells, kind="float": tables.aggregate_cells(spark, fn_, kind, cells)
+    assert agg("sum", [1.0, None, 2.5]) == 3.5 and agg("count", []) == 0 and agg("mean", []) is None and agg("median", [3.0, 1.0, 2.0]) == 2.0 and agg("first", [None, 1.0]) is None
+    assert agg("max", [Decimal("1.5"), Decimal("2")], "decimal(5,1)") == 2 and tables.eval_in_row(spark, col("x") * param("k"), (("x", "int"),), (4,), {"k": 3}) == 12
+
+
+def test_tree_derive_and_log(spark):
+    a = (S.Filter(col("x") > 1), S.Derive("y", col("x") * 2), S.Limit(3))
+    one_ = tree.lift(a)
+    two = tree.apply_script(one_, [("update", one_.nodes[1].id, S.Derive("y", col("x") * 3)), ("move", one_.nodes[2].id, None), ("insertAfter", one_.nodes[0].id, S.Distinct()), ("remove", one_.nodes[0].id)])
+    for before, after in ((one_, two), (two, one_), (one_, one_), (tree.lift(()), one_), (one_, tree.lift(()))):
+        edits = tree.derive(before, after)
+        assert tree.lower(tree.apply_script(before, edits)) == tree.lower(after)
+        assert [tree.decode_edit(tree.encode_edit(e)) for e in edits] == edits
+        assert tree.lower(tree.Stream().replay(before, [tree.encode_edit(e) for e in edits])) == tree.lower(after)
+    assert tree.derive(one_, one_) == [] and tree.derive(one_, two)[0][0] == "remove"
+    with pytest.raises(X.EditRejected):
+        tree.Stream(spark, {"x": Field("int")}).apply(one_, ("insertAfter", None, S.Filter(col("z") > 1)))
+    with pytest.raises(X.EditRejected):
+        tree.decode_edit('["nope"]')
+
+
 SALES = S.Embedded(
     (("id", "int"), ("region", "string"), ("x", "float", "m"), ("colour", "string"), ("w", "float"), ("y", "float", "s")),
     tuple((i, "north" if i % 2 else "south", float(i), ("blue", "green", "red")[i % 3], 1.0 + i % 2, 2.0 + 0.5 * i + (0.3 if i % 3 else -0.4)) for i in range(1, 13)),

@@ -19,8 +19,8 @@ from quernix.operators.regression import in_order, table
 from quernix.plans import steps as S
 from quernix.plans.engine import ORD, State, need, q
 
-#: A silhouette compares all pairs of a group; larger groups are refused.
-MAX_SILHOUETTE = 20_000
+#: Rows of a block of a silhouette, which compares all pairs of a group block by block.
+BLOCK = 2048
 
 
 def kmeans_step(st: State, s: S.KMeans) -> State:
@@ -177,29 +177,66 @@ def means(a: DataFrame, groups, x, gk) -> dict[tuple, dict[int, dict]]:
 
 
 def silhouettes(d: DataFrame, groups, x, best, gk) -> dict[tuple, float]:
-    """Mean silhouette width; a row alone in its cluster counts 0."""
+    """Mean silhouette width; a row alone in its cluster counts 0.
+
+    The width needs every row's distance to every other row of its group. Rows are packed into blocks of about
+    BLOCK; each pair of blocks is one row of work, which gives the sums of distances to every cluster; no task holds a group.
+    """
     import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    if any(sum(m["sizes"]) > MAX_SILHOUETTE for m in best.values()):
-        raise KMeansError(f"a silhouette of more than {MAX_SILHOUETTE} rows")
+    k = len(next(iter(best.values()))["centres"])
+    sizes = {g: np.array(m["sizes"], float) for g, m in best.items()}
+    nb = max(1, math.ceil(max(v.sum() for v in sizes.values()) / BLOCK))
     a = assigned(d, groups, x, {g: m["centres"] for g, m in best.items()}, {g: m["moved"] for g, m in best.items()})
+    a = a.select(*groups, F.pmod(F.xxhash64(ORD), F.lit(nb)).cast("int").alias("blk"), F.array(*x).alias("v"), F.col("__c").cast("int").alias("c"))
     ddl = ", ".join(f"{g} {d.schema[g].dataType.simpleString()}" for g in groups)
-
-    def width(key, pdf):
-        import pandas as pd
-
-        v, c = np.array(pdf["__x"].tolist()), pdf["__c"].to_numpy()
-        out = []
-        for i in range(len(v)):
-            dist = np.sqrt(((v - v[i]) ** 2).sum(1))
-            own = c == c[i]
-            if own.sum() == 1:
-                out.append(0.0)
-                continue
-            near, other = dist[own].sum() / (own.sum() - 1), min(dist[c == o].mean() for o in set(c.tolist()) - {c[i]})
-            out.append((other - near) / max(near, other) if max(near, other) else 0.0)
-        return pd.DataFrame([(*key, sum(out) / len(out))], columns=[*groups, "w"])
-
-    rows = a.select(*groups, F.array(*x).alias("__x"), "__c").groupBy(*groups).applyInPandas(width, f"{ddl}, w double").collect()
+    kinds = [to_arrow_type(d.schema[g].dataType) for g in groups]
+    p = len(x)
+
+    def key_of(t, i: int = 0) -> tuple:
+        return tuple(t.column(g)[i].as_py() for g in groups)
+
+    def row(key: tuple, more: dict) -> pa.Table:
+        return pa.table({**{g: pa.array([v], t) for g, v, t in zip(groups, key, kinds)}, **more})
+
+    def pack(t: pa.Table) -> pa.Table:
+        v, c = np.array(t.column("v").to_pylist(), float), t.column("c").to_numpy().astype("<i4")
+        return row(key_of(t), {"blk": pa.array([t.column("blk")[0].as_py()], pa.int32()), "v": pa.array([v.tobytes()], pa.binary()), "c": pa.array([c.tobytes()], pa.binary())})
+
+    def sums(batches):
+        for b in batches:
+            out = []
+            for v, w, c in zip(*(b.column(n).to_pylist() for n in ("v", "w", "wc"))):
+                v, w, c = np.frombuffer(v).reshape(-1, p), np.frombuffer(w).reshape(-1, p), np.frombuffer(c, "<i4")
+                far = np.zeros((len(v), len(w)))
+                for j in range(p):
+                    far += (v[:, j, None] - w[None, :, j]) ** 2
+                far = np.sqrt(far)
+                out.append(np.column_stack([far[:, c == o].sum(1) for o in range(k)]).tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(g) for g in groups), b.column("blk"), b.column("c"), pa.array(out, pa.binary())], [*groups, "blk", "c", "s"])
+
+    def widths(t: pa.Table) -> pa.Table:
+        s = sum(np.frombuffer(v).reshape(-1, k) for v in t.column("s").to_pylist())
+        c, n, at = np.frombuffer(t.column("c")[0].as_py(), "<i4"), sizes[key_of(t)], np.arange(len(s))
+        near = s[at, c] / np.maximum(1, n[c] - 1)
+        means = np.where(n > 0, s / np.maximum(1, n), np.inf)
+        means[at, c] = np.inf
+        other = means.min(1)
+        top = np.maximum(near, other)
+        w = np.where((n[c] == 1) | ~np.isfinite(other) | (top == 0), 0.0, (other - near) / np.where((top > 0) & np.isfinite(top), top, 1.0))
+        return row(key_of(t), {"w": pa.array([float(w.sum())]), "n": pa.array([len(w)], pa.int64())})
+
+    blocks = a.groupBy(*groups, "blk").applyInArrow(pack, f"{ddl}, blk int, v binary, c binary").persist()
+    try:
+        other = blocks.select(*[F.col(g).alias(f"{g}_") for g in groups], F.col("v").alias("w"), F.col("c").alias("wc"))
+        cond = F.lit(True)
+        for g in groups:
+            cond = cond & F.col(g).eqNullSafe(F.col(f"{g}_"))
+        pairs = blocks.join(other, cond).drop(*[f"{g}_" for g in groups]).repartition(max(nb, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("v"), F.xxhash64("w"))
+        s = pairs.mapInArrow(sums, f"{ddl}, blk int, c binary, s binary")
+        rows = s.groupBy(*groups, "blk").applyInArrow(widths, f"{ddl}, w double, n long").groupBy(*groups).agg((F.sum("w") / F.sum("n")).alias("w")).collect()
+    finally:
+        blocks.unpersist()
     return {gk(r): r["w"] for r in rows}
-

@@ -85,8 +85,19 @@ def compose_all(deltas: list[DataFrame], keys: tuple[str, ...]) -> DataFrame:
 
 
 def validate(delta: DataFrame, keys: tuple[str, ...]) -> None:
-    check_keys(delta, keys)
-    if delta.where(~F.coalesce(F.col("change").isin(*CHANGES), F.lit(False))).limit(1).count():
+    """Refuses a null or repeated key and an unknown change, in one pass."""
+    if missing := [k for k in (*keys, "change") if k not in delta.columns]:
+        raise DeltaError(f"no key column {', '.join(missing)}")
+    null = F.lit(False)
+    for k in keys:
+        null = null | q(k).isNull()
+    odd = ~F.coalesce(F.col("change").isin(*CHANGES), F.lit(False))
+    r = delta.groupBy(*keys).agg(F.count("*").alias("n"), F.bool_or(null).alias("b"), F.bool_or(odd).alias("o")).agg(F.max("n").alias("n"), F.max("b").alias("b"), F.max("o").alias("o")).first()
+    if r["b"]:
+        raise DeltaError("a null key")
+    if (r["n"] or 0) > 1:
+        raise DeltaError("a repeated key")
+    if r["o"]:
         raise DeltaError(f"a change that is none of {', '.join(CHANGES)}")
 
 
@@ -250,9 +261,12 @@ def refresh(pr: Primed, delta: DataFrame | None, new: DataFrame, *, tables: dict
     if reason:
         return replace(prime(new, pr.steps, pr.keys, pr.folder, tables=tables), env=pr.env, footprint=Footprint("full", reason=reason))
     spark, keys, tables = new.sparkSession, pr.keys, tables or {}
+    # Read three times below; a change set that is itself a join would run as often.
+    delta = delta.select(*map(q, keys), "change").persist()
     validate(delta, keys)
     touched = delta.where("change <> 'transient'").select(*[q(k).alias(f"__d{i}") for i, k in enumerate(keys)]).persist()
     n = touched.count()
+    delta.unpersist()
     if n == 0:
         touched.unpersist()
         return replace(pr, footprint=Footprint("reused"))

@@ -453,6 +453,30 @@ def test_kmeans(spark):
             run(spark, (bad,), PLANE)
 
 
+def test_silhouette_in_blocks(spark, monkeypatch):
+    """Against all pairs of each group, with blocks far smaller than a group and a row alone in its cluster."""
+    from quernix.operators import cluster
+
+    monkeypatch.setattr(cluster, "BLOCK", 7)
+    rng = np.random.default_rng(1)
+    rows = [("a", float(x), float(y)) for x, y in rng.normal(size=(40, 2)) + rng.integers(0, 3, (40, 1)) * 4] + [("b", float(i), 0.0) for i in range(9)] + [("b", 500.0, 1.0)]
+    t = S.Embedded((("g", "string"), ("x", "float"), ("y", "float")), tuple(rows))
+    k = S.KMeans((("x", col("x")), ("y", col("y"))), 3, 5, group_by=("g",), silhouette=True, output="summary")
+    got_ = {r[0]: r[-1] for r in got(spark, [k], t)}
+    who = got(spark, [replace(k, output="assignments", silhouette=False)], t)
+    for g in "ab":
+        v, c = np.array([r[1:3] for r in who if r[0] == g]), np.array([r[3] for r in who if r[0] == g])
+        far, w = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)), []
+        for i in range(len(v)):
+            own = c == c[i]
+            if own.sum() == 1:
+                w.append(0.0)
+                continue
+            near, other = far[i][own].sum() / (own.sum() - 1), min(far[i][c == o].mean() for o in set(c.tolist()) - {c[i]})
+            w.append((other - near) / max(near, other))
+        assert got_[g] == pytest.approx(np.mean(w))
+
+
 def test_bootstrap(spark):
     b = S.Bootstrap((S.Agg("total", "sum", "n"), S.Agg("mx", "mean", "x")), 25, 7, output="replicates")
     r = got(spark, [b], PLANE)

@@ -172,7 +172,8 @@ def _candidates(lines: DataFrame, min_chars: int) -> DataFrame:
     roles = (F.col("a.nr").bitwiseAND(1) == 1) & (F.col("b.nr").bitwiseAND(2) == 2)
     # Lines of one length meet both ways; one way is enough.
     sizes = (nb - na <= TAU) & ((nb > na) | ((nb == na) & (F.col("a.h") < F.col("b.h"))))
-    j = a.join(b, meets & roles & sizes & (_distance(F.col("a.cs"), F.col("b.cs")) <= 2 * TAU))
+    # The planner does not see that the rows multiply; it must not broadcast them.
+    j = a.hint("merge").join(b.hint("merge"), meets & roles & sizes & (_distance(F.col("a.cs"), F.col("b.cs")) <= 2 * TAU))
     return j.select(F.least("a.h", "b.h").alias("a"), F.greatest("a.h", "b.h").alias("b"))
 
 

@@ -73,7 +73,9 @@ def links(nodes: DataFrame) -> DataFrame:
         for off, n in SEGMENTS
         for i in range(n)
     ]
-    keys = nodes.select("fp", F.explode(F.array(*variants)).alias("k"))
+    # Spread before the rows multiply: few fingerprints make many variants.
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = nodes.select("fp").repartition(tasks, "fp").select("fp", F.explode(F.array(*variants)).alias("k"))
     a, b = keys.alias("a"), keys.alias("b")
     fa, fb = F.col("a.fp"), F.col("b.fp")
     x = fa.bitwiseXOR(fb)
@@ -84,7 +86,8 @@ def links(nodes: DataFrame) -> DataFrame:
         here = (pos >= off) & (pos < off + n)
         first = first | (earlier & here & ((d == 1) | ((d == 0) & (pos == off))))
         earlier = earlier & (d > 1)
-    return a.join(b, (F.col("a.k") == F.col("b.k")) & (fa < fb) & (F.bit_count(x) <= MAX_BITS) & first).select(fa.alias("a"), fb.alias("b"))
+    # The planner does not see that the rows multiply, and would broadcast them all.
+    return a.hint("merge").join(b.hint("merge"), (F.col("a.k") == F.col("b.k")) & (fa < fb) & (F.bit_count(x) <= MAX_BITS) & first).select(fa.alias("a"), fb.alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -112,8 +115,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _rooted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The columns of near_duplicates and root, the least fingerprint of the component: ids may be null or repeat across components, roots do not."""
+    spark = df.sparkSession
     fps = cut(fingerprints(df, id_col, text_col))
-    nodes = fps.groupBy("fp").agg(F.min(real_id()).alias("low"))
+    nodes = fps.groupBy("fp").agg(F.min(real_id()).alias("low"), F.count("*").alias("n"))
+    nodes = cut(nodes)
     pairs = cut(links(nodes))
     degree = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
     roots = components(pairs).withColumnRenamed("node", "fp")
@@ -121,7 +126,19 @@ def _rooted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = linked.join(lowest, "root").select("fp", "component_id", "n_links", "root")
     alone = nodes.join(linked, "fp", "left_anti").select("fp", F.col("low").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.col("fp").alias("root"))
-    return fps.join(linked.unionByName(alone), "fp").select("did", "rk", "fp", "component_id", "n_links", "root")
+    known = linked.unionByName(alone)
+    # Fingerprints of a large share of all rows (empty texts, mass copies) meet their rows by broadcast: at most 4 * tasks of them have that share.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    hot = [r["fp"] for r in nodes.where(F.col("n") >= max(2, total / (4 * tasks))).select("fp").collect()]
+    if not hot:
+        return fps.join(known, "fp").select(*_ROOTED)
+    known, is_hot = cut(known), F.col("fp").isin(hot)
+    few = F.broadcast(known.where(is_hot))
+    return fps.where(~is_hot).join(known.where(~is_hot), "fp").select(*_ROOTED).unionByName(fps.where(is_hot).join(few, "fp").select(*_ROOTED))
+
+
+_ROOTED = ("did", "rk", "fp", "component_id", "n_links", "root")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

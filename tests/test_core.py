@@ -693,3 +693,28 @@ def test_results_do_not_depend_on_partitions(spark):
     steps = (S.GroupBy(("b",), (S.Agg("f", "first", "a"), S.Agg("l", "last", "a"))), S.Sort((("f", "asc"),)))
     one_, many = (run(spark, steps, df.coalesce(1), ordered=True).collect(), run(spark, steps, df.repartitionByRange(7, "a"), ordered=True).collect())
     assert one_ == many
+
+
+def test_laws(spark):
+    from quernix.plans import laws
+
+    assert len(laws.LAWS) >= 13
+    assert [x for x in laws.run_laws(spark, 7, 2) if x[1]] == []
+    laws.LAWS["broken"] = lambda spark, r: "always"
+    try:
+        assert laws.run_laws(spark, 1, 1, ["broken"]) == [("broken", "always")]
+    finally:
+        del laws.LAWS["broken"]
+
+
+def test_law_vectors(spark, tmp_path):
+    from quernix.plans import laws
+
+    path = str(tmp_path / "vectors.jsonl")
+    laws.write_vectors(spark, path, 3, 10)
+    lines = (tmp_path / "vectors.jsonl").read_text().splitlines()
+    assert len(lines) == 10 and laws.check_vectors(spark, path) == [] and lines == laws.vectors(spark, 3, 10)
+    v = json.loads(lines[0])
+    (tmp_path / "other.jsonl").write_text("\n".join([json.dumps(v | {"hash": "sha256:0"}), lines[1][:-1], json.dumps(v | {"answer": v["table"]}), lines[2]]))
+    wrong = laws.check_vectors(spark, str(tmp_path / "other.jsonl"))
+    assert [w.split(":")[0] for w in wrong] == ["line 0", "line 1", "line 2"]

@@ -251,3 +251,37 @@ def replay(df: DataFrame, rows) -> DataFrame:
         prev = h
         ops.append(decode(text))
     return apply_all(df, ops)
+
+
+@dataclass
+class Edited:
+    """A held table under edit: numbered and read once, however many edits follow."""
+
+    df: DataFrame
+
+    def apply(self, ops) -> Edited:
+        """The table after the edits, held in its turn; this one stays as it is until it is released."""
+        return Edited(apply_all(self.df, ops).persist())
+
+    def table(self, ordered: bool = True) -> DataFrame:
+        return table(self.df, ordered)
+
+    def prepared(self):
+        """A held source for pipelines."""
+        from quernix.sources.tables import prepare
+
+        return prepare(self.table())
+
+    def delta(self, ops) -> list[tuple[int, str]] | None:
+        """``delta_of`` the edits on this table."""
+        return delta_of(ops, self.df.count())
+
+    def invert(self, op):
+        return invert(self.df, op)
+
+    def release(self) -> None:
+        self.df.unpersist()
+
+
+def edit(df: DataFrame) -> Edited:
+    return Edited(numbered(df).persist())

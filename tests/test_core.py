@@ -718,3 +718,21 @@ def test_law_vectors(spark, tmp_path):
     (tmp_path / "other.jsonl").write_text("\n".join([json.dumps(v | {"hash": "sha256:0"}), lines[1][:-1], json.dumps(v | {"answer": v["table"]}), lines[2]]))
     wrong = laws.check_vectors(spark, str(tmp_path / "other.jsonl"))
     assert [w.split(":")[0] for w in wrong] == ["line 0", "line 1", "line 2"]
+
+
+def test_edits_of_a_held_table(spark):
+    O = column_ops  # noqa: E741, N806
+    t = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "a int, b int").coalesce(1)
+    held = O.edit(t)
+    ops = [O.SetCell("b", 1, 99), O.AppendRows(((7, None),)), O.SetColumn("a", (4, 5, 6, 8))]
+    after = held.apply(ops)
+    assert after.table().collect() == O.table(O.apply_all(t, ops)).collect() and held.table().collect() == t.collect()
+    assert held.delta(ops[:2]) == [(1, "changed"), (3, "added")] and held.delta(ops) is None
+    back = held.invert(ops[0])
+    assert held.apply([ops[0]]).apply([back]).table().collect() == t.collect()
+    p = after.prepared()
+    assert [tuple(r) for r in p.run((S.Filter(col("b") > 20),)).collect()] == [(5, 99), (6, 30)]
+    for x in (held, after, p):
+        x.release()
+    with pytest.raises(X.EditRejected):
+        held.apply([O.RemoveColumn("z")])

@@ -10,6 +10,7 @@ confidence that all but reject_share of its right answers reach, never above MAX
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if no
 label can be learned from; a null id is held out like the text "null" would not be: its remainder is
 taken as 0; repeated rows are predicted each; an empty table gives no rows; other columns are ignored.
+Ids to learn from are whole numbers.
 """
 
 from __future__ import annotations

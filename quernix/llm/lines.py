@@ -20,7 +20,7 @@ does not depend on the data; hot keys are split by the adaptive skew join.
 Defined results: a null text stays null and has no lines; an empty text has one empty line; blank lines
 always stay; a null id sorts before all others; rows that repeat an id compare by line number only; an
 empty table gives no rows; all columns of the input come back, whatever their names. Ids are whole numbers
-(or text that casts to them).
+(or text that casts to them) above the least 64-bit number, which stands for null.
 """
 
 from __future__ import annotations

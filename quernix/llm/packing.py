@@ -20,7 +20,7 @@ go through that one, with a bounded table of words already seen; texts with any
 through ``tokenizers``.
 
 Defined results: a null or empty text is the closing id alone; a null id stays null; repeated rows are
-packed as often as they come; an empty table gives no rows; other columns are ignored.
+packed as often as they come; an empty table gives no rows; other columns are ignored. Ids are whole numbers.
 """
 
 from __future__ import annotations

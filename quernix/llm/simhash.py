@@ -9,7 +9,8 @@ contractions, each round cut to the shared folder.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; a null id takes
 part in links but is never the smallest id of a component unless all of its ids are null; repeated
-rows are returned as often as they come; an empty table gives no rows; other columns are ignored.
+rows are returned as often as they come; an empty table gives no rows; other columns are ignored. Ids are
+whole numbers (or text that casts to them) above the least 64-bit number, which stands for null.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ bucket's memory does not depend on the size of the input.
 
 Defined results: null and empty texts have no words; documents of fewer than k words keep them all; a
 null id sorts before all others; rows that repeat an id compare by position only, so they never remove
-each other at the same position; an empty table gives no rows; other columns are ignored.
+each other at the same position; an empty table gives no rows; other columns are ignored. Ids are whole
+numbers (or text that casts to them) above the least 64-bit number, which stands for null.
 """
 
 from __future__ import annotations

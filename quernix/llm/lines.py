@@ -14,8 +14,8 @@ or linked line starts earlier (smaller document id, or same id and smaller line
 input: every line but the first of an equal group goes; the first goes too if a linked line starts earlier.
 
 Scale: equal lines collapse by partial aggregation before any shuffle; the candidate join carries keys,
-not texts; texts of candidates are found again through a bitmap of at most 2^16 words, whose size
-does not depend on the data; hot keys are split by the adaptive skew join.
+not texts; texts of candidates, and the lines of groups of equal or linked lines, are found again through a
+bitmap of at most 2^16 words, whose size does not depend on the data; hot keys are split by the adaptive skew join.
 
 Defined results: a null text stays null and has no lines; an empty text has one empty line; blank lines
 always stay; a null id sorts before all others; rows that repeat an id compare by line number only; an
@@ -202,6 +202,9 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     occ = _lines(df, id_col, text_col).select("did", "rk", "ln", "h1", "h2")
     groups = occ.groupBy("h1", "h2").agg(F.min(F.struct("did", "ln")).alias("at"), F.count("*").alias("n"))
     groups = groups.join(near, ["h1", "h2"], "left").where("n > 1 OR near IS NOT NULL").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # Written, so that the join below has a plain exchange on either side: only then the adaptive skew join splits a hot line.
+    groups = cut(groups)
+    occ = among(occ, "h1", groups.select(F.col("h1").alias("h")))
     return occ.join(groups, ["h1", "h2"]).select("did", "rk", "ln", (F.struct("did", "ln") > F.col("at")).alias("equal"), "near", "n_links").where("equal OR near OR n_links > 0")
 
 

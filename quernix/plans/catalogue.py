@@ -243,12 +243,12 @@ def _score(name: str, family: str, y: str, ps: tuple[str, ...], before: tuple =
 _score("fit_logit_score", "binomial", "late", ("l_quantity", "l_tax"), (S.Derive("late", case((col("l_linestatus").eq("F"), 1), otherwise=0)),))
 _score("fit_poisson_score", "poisson", "l_linenumber", ("l_discount",))
 pipeline("fit_poisson_robust", "lineitem", (S.Fit("l_linenumber", (("d", col("l_discount")),), family="poisson", std_errors="hc3"),))
-# Two clusters on a line: the best of all cuts of the sorted values, by running sums.
-_BEST_CUT = """WITH o AS (SELECT c_acctbal AS x, row_number() OVER w AS rn, sum(c_acctbal) OVER w AS s, count(*) OVER () AS n, sum(c_acctbal) OVER () AS t FROM customer WINDOW w AS (ORDER BY c_acctbal ROWS UNBOUNDED PRECEDING)),
-b AS (SELECT * FROM o WHERE rn < n ORDER BY s * s / rn + (t - s) * (t - s) / (n - rn) DESC LIMIT 1)"""
-_TWO = S.KMeans((("bal", col("c_acctbal")),), 2, 7, restarts=4)
-pipeline("kmeans_two_centres", "customer", (S.with_output(_TWO, "centres"), project("bal", "size"), rounded("bal", 2)), f"{_BEST_CUT} SELECT round(s / rn * 100.0) / 100.0 AS bal, CAST(rn AS INT) AS size FROM b UNION ALL SELECT round((t - s) / (n - rn) * 100.0) / 100.0, CAST(n - rn AS INT) FROM b")
-pipeline("kmeans_assign", "customer", (_TWO, S.GroupBy(("cluster",), (agg("n", "count", "c_custkey"), agg("lo", "min", "c_acctbal"), agg("hi", "max", "c_acctbal"))), project("n", "lo", "hi")), f"{_BEST_CUT}, m AS (SELECT b.rn AS cut FROM b) SELECT CAST(count(*) AS INT) AS n, min(x) AS lo, max(x) AS hi FROM o, m GROUP BY rn <= cut")
+# Two clusters on a line, whichever cut they settle on: every row is in the cluster of the nearer mean, and no row is lost.
+_TWO = S.KMeans((("bal", col("c_acctbal")),), 2, 7)
+_ENDS = S.GroupBy(("cluster",), (agg("n", "count", "c_custkey"), agg("lo", "min", "c_acctbal"), agg("hi", "max", "c_acctbal"), agg("m", "mean", "c_acctbal")))
+_CUT = S.GroupBy((), (agg("n", "sum", "n"), agg("lo", "min", "lo"), agg("hi", "max", "hi"), agg("hi_low", "min", "hi"), agg("lo_high", "max", "lo"), agg("m_low", "min", "m"), agg("m_high", "max", "m")))
+_MID = (col("m_low") + col("m_high")) / 2.0
+pipeline("kmeans_assign", "customer", (_TWO, _ENDS, _CUT, S.Derive("nearest", (col("hi_low") <= _MID) & (col("lo_high") >= _MID)), project("n", "lo", "hi", "nearest")), "SELECT CAST(count(*) AS INT) AS n, min(c_acctbal) AS lo, max(c_acctbal) AS hi, true AS nearest FROM customer")
 pipeline("kmeans_centres", "customer", (S.KMeans((("bal", col("c_acctbal")),), 3, 7, output="centres"),))
 pipeline("kmeans_summary", "customer", (S.KMeans((("bal", col("c_acctbal")),), 3, 7, group_by=("c_mktsegment",), standardise=True, output="summary"),))
 pipeline("bootstrap_summary", "customer", (S.Bootstrap((agg("m", "mean", "c_acctbal"), agg("n", "count", "c_custkey")), 30, 7, group_by=("c_mktsegment",)),))

@@ -14,6 +14,8 @@ from quernix.plans import steps as S
 from quernix.plans.engine import ORD, State, aggregate, need, q, unique
 
 _G = 0x9E3779B97F4A7C15
+#: Draws of a replicate that one row stands for until they are drawn.
+_BLOCK = 1 << 16
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -56,29 +58,41 @@ def bootstrap_step(st: State, s: S.Bootstrap) -> State:
     if s.output == "summary" and any(not numeric(aggregate(a, st.schema, True)[1].type) for a in s.aggregates):
         raise BootstrapError("a summary of an aggregate that is not a number")
     keys = [f"__g{i}" for i in range(len(s.group_by))]
-    d = st.df.withColumns({k: q(g) for k, g in zip(keys, s.group_by)} | {"__u": q(s.cluster) if s.cluster else F.col(ORD)})
+    d = st.df.withColumns({k: q(g) for k, g in zip(keys, s.group_by)})
     by = Window.partitionBy(*keys)
-    # Units drawn (rows or clusters), numbered by first appearance; groups are numbered likewise.
-    units = d.groupBy(*keys, "__u").agg(F.min(ORD).alias("__at"))
-    units = units.withColumn("__i", F.row_number().over(by.orderBy("__at")) - 1)
-    groups = units.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__at").alias("__at"))
-    groups = groups.withColumn("__s", F.row_number().over(Window.orderBy("__at")) - 1) if keys else groups.withColumn("__s", F.lit(0))
-    order = groups.select(*[F.col(k).alias(f"{k}_") for k in keys], "__n", "__s")
-    reps_df = order.withColumn("__r", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    t = reps_df.withColumn("__t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
-    # Spread before drawing: one group's replicates would otherwise sit in one task.
-    t = t.repartition(*[F.col(f"{k}_") for k in keys], "__r") if keys else t.repartition("__r")
-    t = t.withColumn("__d", draws(seed)(F.col("__s").cast("long"), (F.col("__r") - 1) * F.col("__n") + F.col("__t"), F.col("__n")))
 
-    def match(left: DataFrame, right: DataFrame, more) -> DataFrame:
-        cond = more
-        for k in keys:
-            cond = cond & F.col(f"{k}_").eqNullSafe(F.col(k))
-        return left.join(right, cond)
+    def match(left: DataFrame, right: DataFrame, ons) -> DataFrame:
+        """A merge join: row counts don't follow from the size of the input's files, and a broadcast would pass the driver."""
+        cond = None
+        for x, y in ons:
+            c = F.col(x).eqNullSafe(F.col(y))
+            cond = c if cond is None else cond & c
+        return left.join(right.hint("merge"), cond)
 
-    picked = match(t, units, F.col("__d") == F.col("__i")).select(*[f"{k}_" for k in keys], "__s", "__r", "__t", F.col("__u").alias("__pu"))
-    rows = match(picked, d, F.col("__pu").eqNullSafe(F.col("__u"))).withColumn("__o", F.struct("__t", F.col(ORD).alias("o")))
-    rows = rows.drop(ORD).withColumnRenamed("__o", ORD)
+    # Units drawn (rows or clusters), numbered by first appearance; groups are numbered likewise.
+    if s.cluster:
+        d = d.withColumn("__u", q(s.cluster))
+        units = d.groupBy(*keys, "__u").agg(F.min(ORD).alias("__at"))
+        numbers = units.withColumn("__i", F.row_number().over(by.orderBy("__at")) - 1).select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("__u").alias("__u_"), "__i")
+        rows = match(d, numbers, [*[(k, f"{k}_") for k in keys], ("__u", "__u_")]).drop(*[f"{k}_" for k in keys])
+    else:
+        units = d.select(*keys, F.col(ORD).alias("__at"))
+        rows = d.withColumn("__i", F.row_number().over(by.orderBy(ORD)) - 1)
+    groups = units.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__at").alias("__at")).where("__n > 0")
+    groups = groups.withColumn("__s", (F.row_number().over(Window.orderBy("__at")) - 1).cast("long")) if keys else groups.withColumn("__s", F.lit(0).cast("long"))
+    order = groups.select(*[F.col(k).alias(f"{k}_") for k in keys], "__n", "__s")
+    rows = match(rows, order.drop("__n"), [(k, f"{k}_") for k in keys]) if keys else rows.withColumn("__s", F.lit(0).cast("long"))
+    rows = rows.select(*[q(n) for n in st.schema], F.col(ORD).alias("__o"), F.col("__s").alias("__rs"), F.col("__i").cast("long").alias("__i"))
+    # Blocks of draws are dealt before they are drawn, to a fixed number of tasks: one group's replicates would otherwise sit in one.
+    t = order.select("__s", "__n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("__r"))
+    t = t.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(_BLOCK).cast("long"))))
+    t = t.repartition(int(st.df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__s", "__r", "__b")
+    t = t.withColumn("__t", F.explode(F.sequence("__b", F.least(F.col("__b") + _BLOCK, "__n") - 1)))
+    # A draw that could be null would be drawn twice: for the join's null check and for the join.
+    draw = F.coalesce(draws(seed)("__s", (F.col("__r") - 1) * F.col("__n") + F.col("__t"), "__n"), F.lit(-1).cast("long"))
+    t = t.select("__s", "__r", "__t", draw.alias("__d"))
+    # The one join over units times replicates; the number drawn is the first key, as sorts compare its prefix first.
+    rows = t.join(rows.hint("merge"), (F.col("__d") == F.col("__i")) & (F.col("__s") == F.col("__rs"))).withColumn(ORD, F.struct("__t", F.col("__o").alias("o")))
     aggs = [aggregate(a, st.schema, True) for a in s.aggregates]
     names = [a.name for a in s.aggregates]
     group_cols = [q(g) for g in s.group_by]
@@ -99,11 +113,8 @@ def bootstrap_step(st: State, s: S.Bootstrap) -> State:
     sm = g.groupBy(*group_cols, "__s").agg(*[p.alias(f"__p{i}") for i, p in enumerate(parts)])
     sm = sm.select(*[q(k).alias(f"{g_}_") for k, g_ in zip(s.group_by, keys)], "__s", *[f"__p{i}" for i in range(len(names))])
     if keys:
-        cond = None
-        for k, g_ in zip(s.group_by, keys):
-            c = q(k).eqNullSafe(F.col(f"{g_}_"))
-            cond = c if cond is None else cond & c
-        j = own.join(sm, cond)
+        own = own.withColumns({g_: q(k) for k, g_ in zip(s.group_by, keys)})
+        j = match(own, sm, [(g_, f"{g_}_") for g_ in keys])
     else:
         j = own.crossJoin(sm)  # one row each
     cell = F.explode(F.array(*[F.struct(F.col(f"__p{i}").alias("p"), F.col(f"__e{i}").cast("double").alias("estimate")) for i in range(len(names))])).alias("__cell")

@@ -495,6 +495,31 @@ def test_bootstrap(spark):
     assert {v[1] for v in c} == {16}
 
 
+@pytest.mark.parametrize("cluster", (None, "c"))
+def test_bootstrap_sends_no_rows_to_the_driver(spark, monkeypatch, tmp_path, cluster):
+    """A small file may hold many rows: nothing is broadcast, whatever the planner estimates; draws cross blocks, and null is a group and a cluster."""
+    from quernix.operators import bootstrap
+
+    monkeypatch.setattr(bootstrap, "_BLOCK", 7, raising=False)
+    rows = [(None if i % 3 == 0 else i % 3, None if i % 5 == 0 else i % 5 - 2.0, i) for i in range(90)]
+    spark.createDataFrame(rows, "g int, c double, x int").repartition(1).sortWithinPartitions("x").write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    b = S.Bootstrap((S.Agg("total", "sum", "x"), S.Agg("head", "first", "x")), 4, 11, cluster=cluster, group_by=("g",), output="replicates")
+    want = set()
+    for stream, g in enumerate((None, 1, 2)):
+        units: dict = {}
+        for _, c, x in (r for r in rows if r[0] == g):
+            units.setdefault(c if cluster else x, []).append(x)
+        units, rng = list(units.values()), N.Rng(11, stream)
+        for r in range(1, 5):
+            drawn = [units[rng.below(len(units))] for _ in units]
+            want.add((g, r, sum(map(sum, drawn)), drawn[0][0]))
+    assert {tuple(v) for v in run(spark, [b], t).collect()} == want
+    df = run(spark, [replace(b, output="summary", aggregates=b.aggregates[:1])], t)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(v["g"], v["estimate"]) for v in df.collect()} == {(g, sum(x for h, _, x in rows if h == g)) for g in (None, 1, 2)}
+
+
 # Change sets and edits
 
 

@@ -124,7 +124,7 @@ def text(x: Typed) -> Column:
         return show_float(x.col)
     if is_decimal(x.type):
         s = x.col.cast("string")
-        return F.when(s.contains("."), F.regexp_replace(F.regexp_replace(s, "0+$", ""), r"\.$", "")).otherwise(s)
+        return F.when(s.contains("."), F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s)
     return x.col.cast("string")
 
 
@@ -301,6 +301,8 @@ def _rounded(x: Typed, scale: int, mode: str) -> Typed:
 
 #: Decimal digits of one step of a long division, at most and at least.
 _DIGITS = (30, 6)
+#: Digits of a step in longs, at least.
+_SHORT = 3
 
 
 def _quotient(a: Typed, b: Typed, scale: int, mode: str) -> Typed:
@@ -313,6 +315,9 @@ def _quotient(a: Typed, b: Typed, scale: int, mode: str) -> Typed:
     lit = lambda v: F.lit(Decimal(v)).cast(whole)
     widths = [precision(x.type) if is_decimal(x.type) else ((10, 0) if x.type == "int" else (19, 0)) for x in (a, b)]
     up = max(w[1] for w in widths)
+    room = 18 - (widths[1][0] - widths[1][1] + up)
+    if room >= _SHORT and widths[0][0] - widths[0][1] + up <= 18:
+        return Typed(_short_quotient(a, b, widths, up, room, scale, mode).cast(t), t, units.combine(a.unit, b.unit, -1))
     n, d = ((x.col.cast(f"decimal(38,{w[1]})") * lit(10**up)).cast(whole) for x, w in zip((a, b), widths))
     d = F.nullif(d, lit(0))
     negative, size = (n < 0) != (d < 0), F.abs(d)
@@ -339,6 +344,46 @@ def _quotient(a: Typed, b: Typed, scale: int, mode: str) -> Typed:
     return Typed(F.when(n.isNotNull() & d.isNotNull(), out), t, unit)
 
 
+def _short_quotient(a: Typed, b: Typed, widths, up: int, room: int, scale: int, mode: str) -> Column:
+    """The quotient as text, in longs: a remainder times ``room`` digits has 18 digits at most.
+
+    Every remainder names the one before it once, so that the expressions stay small, and nothing is under a condition,
+    so that Spark takes what they share out of them. Null in, null out.
+    """
+    n, d = (x.col.cast("bigint") * F.lit(10**up).cast("bigint") if w[1] == 0 else (x.col.cast(f"decimal({w[0]},{w[1]})") * F.lit(Decimal(10**up)).cast(f"decimal({up + 1},0)")).cast("bigint") for x, w in zip((a, b), widths))
+    whole = lambda x, y: F.call_function("div", x, y)
+    power = lambda k: F.lit(10**k).cast("bigint")
+    # Not nullif: each use of it would be planned as a column of its own, which shares nothing with the others.
+    d = F.when(d != 0, d)
+    negative, size = (n < 0) != (d < 0), F.abs(d)
+    last, r = whole(F.abs(n), size), F.abs(n) % size
+    # Groups of digits that a long holds: the whole part, then the fraction's digits from the left.
+    groups = [(last, 0)]
+    done = 0
+    while done < scale:
+        k = min(room, scale - done)
+        last, r = whole(r * power(k), size), (r * power(k)) % size
+        v, digits = groups[-1]
+        if len(groups) > 1 and digits + k <= 18:
+            groups[-1] = (v * power(k) + last, digits + k)
+        else:
+            groups.append((last, k))
+        done += k
+    rest, twice = r != 0, r * 2
+    over = {
+        "up": rest, "down": None, "ceiling": rest & ~negative, "floor": rest & negative, "halfUp": twice >= size,
+        "halfDown": twice > size, "halfEven": (twice > size) | ((twice == size) & (last % 2 == 1)),
+    }[mode]
+    carry, out = None if over is None else over.cast("bigint"), []
+    for v, digits in reversed(groups):
+        v = v if carry is None else v + carry
+        if digits:
+            carry = None if over is None else whole(v, power(digits))
+            v = F.lpad((v if over is None else v % power(digits)).cast("string"), digits, "0")
+        out.insert(0, v.cast("string"))
+    return F.concat(F.when(negative, "-").otherwise(""), out[0], *([F.lit("."), *out[1:]] if scale else []))
+
+
 def _whole(name: str, c: Column) -> Column:
     """floor or ceil of a double; from 2^53 on, and for NaN and infinities, the value itself."""
     return F.when(F.abs(c) < float(2**53), getattr(F, name)(c).cast("double")).otherwise(c)

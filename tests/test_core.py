@@ -179,6 +179,29 @@ def test_quotient_limits(spark):
         q("1", "3", 39)
 
 
+def test_narrow_quotients_are_divided_in_longs(spark):
+    """Integers at their limits, carries into the whole part and over groups of digits; no lambda and no pattern is run row by row."""
+    from fractions import Fraction
+
+    low, high = -(2**31), 2**31 - 1
+    rows = tuple((x, y) for x in (low, high, -1, 0, 2, 999_999_999, None) for y in (low, high, -3, 0, 1, 7, 1_000_000_000, None))
+    kinds = {"a": (3, "halfEven"), "b": (8, "up"), "c": (19, "ceiling"), "d": (26, "floor")}
+    steps = tuple(S.Derive(n, E.Quotient(col("x"), col("y"), *k)) for n, k in kinds.items()) + tuple(S.Derive(f"t{n}", fn("concat", col(n))) for n in kinds)
+    df = run(spark, steps, S.Embedded((("x", "int"), ("y", "int")), rows))
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "lambda" not in plan and "regexp" not in plan
+    for r in df.collect():
+        for n, (scale, mode) in kinds.items():
+            if r["x"] is None or not r["y"]:
+                assert r[n] is None and r[f"t{n}"] is None
+                continue
+            v = Fraction(r["x"], r["y"]) * 10**scale
+            w = {"halfEven": round, "up": lambda z: math.ceil(z) if z > 0 else math.floor(z), "ceiling": math.ceil, "floor": math.floor}[mode](v)
+            want = Decimal((int(w < 0), tuple(map(int, str(abs(w)))), -scale))
+            text = format(want, "f")
+            assert r[n] == want and r[f"t{n}"] == (text.rstrip("0").rstrip(".") if "." in text else text), (r, n)
+
+
 def test_floor_and_ceil_of_any_float(spark):
     for v in (1e300, -1e300, math.inf, -math.inf, 2.0**53 + 2, -(2.0**63), 2.0**63):
         assert one(spark, fn("floor", v)) == v and one(spark, fn("ceil", v)) == v

@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +76,7 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(spark)}/quernix-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
+    trim_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -130,6 +132,31 @@ def trim() -> None:
         pass
 
 
+def trim_driver(spark: SparkSession) -> str | None:
+    """Gives memory that is free inside the driver's JVM, outside its heap, back to the system, and returns the JVM's answer; None where it has no such command.
+
+    Compilers and the threads of each query leave it there, and it adds up over the queries of a session. The call goes by
+    the interface's method, as the bean's own class is closed to reflection.
+    """
+    sc = spark.sparkContext
+    java, javax, new = sc._jvm.java, sc._jvm.javax, sc._gateway.new_array
+
+    def array(kind, *items):
+        out = new(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    kinds = [java.lang.Class.forName(n) for n in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+    try:
+        invoke = java.lang.Class.forName("javax.management.MBeanServerConnection").getMethod("invoke", array(java.lang.Class, *kinds))
+        bean = javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        args = bean, "systemTrimNativeHeap", array(java.lang.Object, array(java.lang.String)), array(java.lang.String, "[Ljava.lang.String;")
+        return invoke.invoke(java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(java.lang.Object, *args))
+    except Py4JError:  # another JVM
+        return None
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, element by element."""
     x = x ^ (x >> U64(30))

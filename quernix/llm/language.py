@@ -1,7 +1,7 @@
 """Language ID: averaged hashed subword embeddings, a linear softmax, and calibrated rejection.
 
 Byte n-grams of the lower-cased text are hashed into BUCKETS rows of an embedding; a document is the
-average of its rows. Embedding and softmax are trained in numpy by stochastic gradient descent on at
+average of its rows. Embedding and softmax are trained in numpy, in one task, by stochastic gradient descent on at
 most PER_LANGUAGE labelled documents of each language (a documented bound; they are chosen by a hash of
 their ids). As the model is linear after averaging, prediction needs one small table of scores per
 bucket. A temperature is fitted on a held-back part of the sample, and the rejection threshold is the
@@ -15,6 +15,7 @@ Ids to learn from are whole numbers.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernix.llm.common import claim, trim
+from quernix.llm.common import claim, trim, trim_driver
 
 BUCKETS, DIMS, PER_LANGUAGE, EPOCHS, SEED = 1 << 13, 16, 500, 12, 7
 REJECT_SHARE, MAX_THRESHOLD = 0.001, 0.5
@@ -107,6 +108,14 @@ def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[str
     return m
 
 
+def learn(rows: list[tuple[str, int | None, bytes, bytes]]) -> Model:
+    """The model of rows (language, id, buckets, counts), in whatever order they come."""
+    rows = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0], r[2], r[3]))
+    names = sorted({r[0] for r in rows})
+    x = [(np.frombuffer(at, "<i4"), np.frombuffer(n, "<i4")) for *_, at, n in rows]
+    return train(x, np.array([names.index(r[0]) for r in rows]), names)
+
+
 def remainder(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5, F.lit(0))
 
@@ -129,15 +138,20 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             arrays = [b.column(0), b.column(1), pa.array([a.astype("<i4").tobytes() for a in at], pa.binary()), pa.array([g[a].astype("<i4").tobytes() for g, a in zip(got, at)], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["l", "i", "at", "n"])
 
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
+        if rows := [tuple(r.values()) for b in batches for r in b.to_pylist()]:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(rows))], pa.binary())], ["model"])
+        rows.clear()
+        trim()
+
     # The share bounds the sample but for ids that repeat; twice the quota is a hard bound, and which rows it keeps
-    # depends on them alone. A row is bounded by the number of buckets.
+    # depends on them alone. A row is bounded by the number of buckets. One task learns, so the driver gets the model only.
     f = d.mapInArrow(features, "l string, i long, at binary, n binary")
-    rows = sorted(f.orderBy(F.xxhash64("i", "l", "at", "n")).limit(2 * per_language * len(langs)).collect(), key=lambda r: (r["i"] is not None, r["i"] or 0, r["l"], r["at"], r["n"]))
-    if not rows:
-        return None
-    names = sorted({r["l"] for r in rows})
-    x = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in rows]
-    return train(x, np.array([names.index(r["l"]) for r in rows]), names)
+    f = f.orderBy(F.xxhash64("i", "l", "at", "n")).limit(2 * per_language * len(langs)).coalesce(1)
+    got = f.mapInArrow(learned, "model binary").collect()
+    trim_driver(df.sparkSession)
+    return pickle.loads(got[0]["model"]) if got else None
 
 
 def identify(df: DataFrame, model: Model | None, text_col: str = "text", columns: list[Column] = (), schema: str = "") -> DataFrame:

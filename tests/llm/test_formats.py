@@ -491,3 +491,15 @@ def test_language_rejects(spark):
     df = spark.createDataFrame([(10**6 + i, t, None, "x", 1) for i, t in enumerate(odd_texts)], d.schema)
     left = {r["doc_id"] for r in rows(language.drop_rejected(d.unionByName(df)))}
     assert left & {10**6 + i for i in range(5)} <= {10**6, 10**6 + 4} and 10**6 + 4 in left
+
+
+def test_language_learns_in_a_task(spark, monkeypatch):
+    """The driver gets the model alone; native memory that its JVM has freed goes back to the system."""
+    from quernix.llm import common
+
+    said = []
+    monkeypatch.setattr(language, "train", None)  # the driver's; a worker has its own
+    monkeypatch.setattr(language, "trim_driver", lambda s, f=common.trim_driver: said.append(f(s)))
+    model = language.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert model.langs and model.table.shape == (language.BUCKETS, len(model.langs))
+    assert said and all(x is None or "rim" in x for x in said)
